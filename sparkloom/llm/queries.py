@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import line_dedup, quality, toxicity
+from sparkloom.llm import line_dedup, packing, quality, toxicity
 from sparkloom.session import table
 
 
@@ -22,7 +22,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.query(table(spark, sf_dir, "documents"))
 
 
+def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_harmonic_packing": op4_harmonic_packing,
     "op5_line_dedup": op5_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op10_quality_rules": op10_quality_rules,
