@@ -28,15 +28,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder (`spark.checkpoint.dir`).
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in `spark.checkpoint.dir`, which driver and executors share.
 
-    Only a session that names no folder, as in tests, gets a temporary one of its own.
+    Only a session that names none, as in tests, gets a temporary one of its own.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", "") and context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = tempfile.mkdtemp(prefix="sparkloom-checkpoint-")
-        atexit.register(shutil.rmtree, folder, True)
-        context.setCheckpointDir(folder)
+    folder = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if folder:
+        return folder.rstrip("/")
+    made = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if made.isDefined():
+        return made.get().rstrip("/")
+    folder = tempfile.mkdtemp(prefix="sparkloom-checkpoint-")
+    atexit.register(shutil.rmtree, folder, True)
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
