@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import line_dedup, packing, quality, simhash, toxicity
+from sparkloom.llm import line_dedup, packing, quality, simhash, toxicity, url_filter
 from sparkloom.session import table
 
 
@@ -30,10 +30,15 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.query(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_line_dedup": op5_line_dedup,
+    "op7_url_filter": op7_url_filter,
     "op8_toxicity": op8_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
