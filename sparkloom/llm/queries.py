@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import line_dedup, packing, quality, simhash, toxicity, url_filter
+from sparkloom.llm import line_dedup, packing, quality, simhash, toxicity, unigram, url_filter
 from sparkloom.session import table
 
 
@@ -34,10 +34,20 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.query(table(spark, sf_dir, "pages"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.query_codec(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_token_counts": op2_token_counts,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_url_filter": op7_url_filter,
     "op8_toxicity": op8_toxicity,
     "op10_quality_rules": op10_quality_rules,
