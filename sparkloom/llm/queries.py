@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import line_dedup, lm_score, packing, quality, simhash, toxicity, unigram, url_filter
+from sparkloom.llm import ann_forest, line_dedup, lm_score, packing, quality, simhash, toxicity, unigram, url_filter
 from sparkloom.session import table
 
 
@@ -46,9 +46,14 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.query(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_hash_prefix_forest": op3_hash_prefix_forest,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_line_dedup": op5_line_dedup,
     "op6_sentencepiece": op6_sentencepiece,
