@@ -102,30 +102,33 @@ def measure(docs: DataFrame, text: str = "text", max_lost: float = 0.5) -> DataF
     step = step.withColumn("__full", F.transform(F.filter("__lines", lambda x: x["n"] > 0), lambda x: x["line"])).drop("__lines", "__good")
     failed = (F.col("__n") < 20) | (F.lit(100) * F.col("__repeat") > F.lit(30) * F.col("__n"))
     lost = F.col("__n") - F.col("__kept_words") > F.lit(max_lost) * F.col("__n")
-    return step.withColumn(
-        "quality",
-        F.struct(
-            F.col("__n").cast("long").alias("n_words"),
-            F.length(F.translate(t, BLANK_CHARS, "")).cast("long").alias("word_chars"),
+    found = F.struct(
+        F.col("__n").cast("long").alias("n_words"),
+        F.length(F.translate(t, BLANK_CHARS, "")).cast("long").alias("word_chars"),
             count_chars(t, SYMBOLS).cast("long").alias("n_symbols"),
-            (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long").alias("n_dup_lines"),
-            F.col("__repeat").cast("long").alias("n_repeat_words"),
-            failed.alias("base_failed"),
-            (~failed & ~lost).alias("kept"),
-            F.col("__kept_words").cast("long").alias("kept_words"),
-            F.col("__clean").alias("clean_text"),
-        ),
-    ).drop("__n", "__repeat", "__clean", "__full", "__kept_words")
+        (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long").alias("n_dup_lines"),
+        F.col("__repeat").cast("long").alias("n_repeat_words"),
+        failed.alias("base_failed"),
+        (~failed & ~lost).alias("kept"),
+        F.col("__kept_words").cast("long").alias("kept_words"),
+        F.col("__clean").alias("clean_text"),
+    )
+    # A generator of one row: the optimizer moves no filter on the verdict below it, which would write the steps
+    # out again for every reference.
+    return step.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array(found)).alias("quality"))
 
 
 def clean(docs: DataFrame, text: str = "text", max_lost: float = 0.5) -> DataFrame:
     """The documents that stay, with their failing lines removed; same columns as `docs`."""
-    judged = measure(docs, text, max_lost).filter("quality.kept")
+    judged = measure(docs, text, max_lost)
+    columns = {c: F.col(f"`{c}`") for c in docs.columns}
     # A null text never stays, so the cleaned text is never null.
-    judged = judged.withColumn(text, F.col("quality.clean_text"))
-    if "n_chars" in docs.columns:
-        judged = judged.withColumn("n_chars", F.length(F.col(f"`{text}`")).cast("long"))
-    return judged.select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns[text] = F.col("quality.clean_text")
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length("quality.clean_text").cast(docs.schema["n_chars"].dataType)
+    row = F.struct(*[e.alias(c) for c, e in columns.items()])
+    # Not a filter: the optimizer would move it below the steps and write them out again for every reference.
+    return judged.select(F.explode(F.when(F.col("quality.kept"), F.array(row))).alias("row")).select("row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:
