@@ -121,3 +121,36 @@ def clean(docs: DataFrame, min_words: int = 8) -> DataFrame:
     if "n_chars" in columns:
         columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("clean_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
     return judged.select(*columns.values())
+
+
+#: The query for DuckDB: every window of 1, 2, 4, ... lines written out and numbered by its place.
+SQL = r"""
+WITH RECURSIVE kept_rows AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+numbered AS (SELECT doc_id, text, UNNEST(string_split(text, chr(10))) AS ln, UNNEST(range(len(string_split(text, chr(10))))) AS line FROM kept_rows),
+lines AS (
+  SELECT doc_id, text, ln, line, len(list_filter(regexp_split_to_array(ln, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words,
+         row_number() OVER (PARTITION BY doc_id, text ORDER BY line) - 1 AS pos
+  FROM numbered WHERE regexp_matches(ln, '[^\x20\x09-\x0D]')
+),
+widths AS (SELECT CAST(1 AS BIGINT) AS w UNION ALL SELECT w * 2 FROM widths WHERE w * 2 <= (SELECT max(pos) + 1 FROM lines)),
+windows AS (
+  SELECT a.doc_id, a.text, a.pos, w, list(b.ln ORDER BY b.pos) AS lns, sum(b.words) AS words
+  FROM lines a, widths JOIN lines b ON b.doc_id = a.doc_id AND b.text = a.text AND b.pos >= a.pos AND b.pos < a.pos + w
+  GROUP BY ALL HAVING count(*) = w
+),
+later AS (
+  SELECT *, row_number() OVER (PARTITION BY w, lns ORDER BY doc_id, text, pos) > 1 AS late FROM windows
+),
+dead AS (
+  SELECT DISTINCT l.doc_id, l.text, l.line FROM lines l JOIN later x ON x.doc_id = l.doc_id AND x.text = l.text AND x.late AND x.words >= 8 AND l.pos >= x.pos AND l.pos < x.pos + x.w
+),
+stay AS (
+  SELECT n.doc_id, n.text, string_agg(n.ln, chr(10) ORDER BY n.line) AS clean
+  FROM numbered n LEFT JOIN dead USING (doc_id, text, line) WHERE dead.line IS NULL GROUP BY ALL
+),
+counts AS (SELECT l.doc_id, l.text, count(*) AS n_lines, count(d.line) AS n_removed FROM lines l LEFT JOIN dead d USING (doc_id, text, line) GROUP BY ALL)
+SELECT d.doc_id, CAST(coalesce(c.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(length(coalesce(s.clean, '')) AS BIGINT) AS kept_chars, md5(coalesce(s.clean, '')) AS kept_md5
+FROM documents d LEFT JOIN counts c ON c.doc_id IS NOT DISTINCT FROM d.doc_id AND c.text = d.text
+LEFT JOIN stay s ON s.doc_id IS NOT DISTINCT FROM d.doc_id AND s.text = d.text
+"""

@@ -5,7 +5,7 @@ task is bounded by one document. A line (split at "\\n") fails when it is
 
 * navigation: at least three separators (`|`, `»`, `›`, `•`) and one for every four words or more;
 * symbol noise (punctuation): at least three characters of `#*$%&|<>` and more than one for five words;
-* shouting (punctuation): all letters upper case, at least three words and a `!` for every two words;
+* shouting (punctuation): capitals and no small letters, at least three words and a `!` for every two words;
 * boilerplate: a licence, cookie, login or sharing notice of at most thirty words;
 * a fragment (punctuation): fewer than three words and no closing punctuation.
 
@@ -31,6 +31,7 @@ NOTICE = (
     r"(?i)\b(all rights reserved|licen[sc]ed under|released under the|copyright|cookies?|privacy policy"
     r"|terms of (use|service)|log ?in|sign (in|up)|subscribe|click here|read more|share this)\b"
 )
+CAPITAL, SMALL = r"\p{Lu}", r"\p{Ll}"
 WINDOW = 8
 
 
@@ -57,7 +58,7 @@ def facts(line: Column) -> Column:
 def line_fails(x: Column, max_notice_words: int = 30) -> Column:
     """The rules for one line, from its `facts`; see the module's text."""
     line, n = x["line"], x["n"]
-    shouting = (x["bangs"] >= 2) & (x["bangs"] * 2 >= n) & (n >= 3) & (F.upper(line) == line) & (F.lower(line) != line)
+    shouting = (x["bangs"] >= 2) & (x["bangs"] * 2 >= n) & (n >= 3) & line.rlike(CAPITAL) & ~line.rlike(SMALL)
     return (n > 0) & (
         ((x["bars"] >= 3) & (x["bars"] * 4 >= n))
         | ((x["symbols"] >= 3) & (x["symbols"] * 5 > n))
@@ -135,3 +136,42 @@ def query(docs: DataFrame) -> DataFrame:
     q = measure(docs.select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_words")
     return q.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in names])
+
+
+def sql() -> str:
+    """The query for DuckDB, from the same patterns; it compares windows and lines themselves, not hashes."""
+    words = lambda text: f"list_filter(regexp_split_to_array({text}, '{BLANKS}'), lambda w: w <> '')"
+    count = lambda text, chars: f"(length({text}) - length(translate({text}, '{chars}', '')))"
+    closing, blank = CLOSING.replace("'", "''"), "concat(chr(32), chr(9), chr(10), chr(11), chr(12), chr(13))"
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, {words('t')} AS ws FROM d),
+places AS (SELECT rid, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w),
+windows AS (SELECT rid, i, list_slice(ws, i, i + {WINDOW - 1}) AS g FROM places),
+twice AS (SELECT rid, g FROM windows GROUP BY rid, g HAVING count(*) > 1),
+covered AS (SELECT DISTINCT rid, p FROM (SELECT rid, unnest(range(i, i + {WINDOW})) AS p FROM windows JOIN twice USING (rid, g))),
+repeats AS (SELECT rid, count(*) AS n_repeat FROM covered GROUP BY rid),
+lines AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d),
+facts AS (
+  SELECT rid, line, len({words('line')}) AS n, {count('line', SYMBOLS)} AS symbols, {count('line', BARS)} AS bars, {count('line', '!')} AS bangs FROM lines
+),
+judged AS (
+  SELECT *, n > 0 AND ((bars >= 3 AND bars * 4 >= n) OR (symbols >= 3 AND symbols * 5 > n)
+    OR (bangs >= 2 AND bangs * 2 >= n AND n >= 3 AND regexp_matches(line, '{CAPITAL}') AND NOT regexp_matches(line, '{SMALL}'))
+    OR (n < 3 AND NOT regexp_matches(line, '{closing}')) OR (n <= 30 AND regexp_matches(line, '{NOTICE}'))) AS fails
+  FROM facts
+),
+by_doc AS (
+  SELECT rid, CAST(sum(CASE WHEN fails THEN 0 ELSE n END) AS BIGINT) AS kept_words,
+         CAST(count(*) FILTER (n > 0) - count(DISTINCT CASE WHEN n > 0 THEN line END) AS BIGINT) AS n_dup_lines
+  FROM judged GROUP BY rid
+),
+base AS (
+  SELECT d.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(length(translate(t, {blank}, '')) AS BIGINT) AS word_chars,
+         CAST({count('t', SYMBOLS)} AS BIGINT) AS n_symbols, b.n_dup_lines, CAST(coalesce(r.n_repeat, 0) AS BIGINT) AS n_repeat_words, b.kept_words
+  FROM d JOIN w USING (rid) JOIN by_doc b USING (rid) LEFT JOIN repeats r USING (rid)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND (n_words - kept_words) * 2 <= n_words AS kept
+FROM base
+"""
