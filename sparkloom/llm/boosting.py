@@ -12,7 +12,7 @@ class Boosted:
         self.trees, self.depth, self.rate, self.bins, self.penalty = trees, depth, rate, bins, penalty
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
+        self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])] if len(x) else [np.empty(0)] * x.shape[1]
         binned = np.stack([np.searchsorted(c, x[:, j], side="right") for j, c in enumerate(self.cuts)], axis=1)
         rate = np.clip(y.mean() if len(y) else 0.0, 1e-4, 1 - 1e-4)
         self.start, self.model = float(np.log(rate / (1 - rate))), []

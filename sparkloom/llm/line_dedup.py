@@ -93,8 +93,8 @@ def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     return marked.filter(F.col("reach") >= F.col("at")).groupBy("doc", "th").agg(F.collect_list("line").alias("dead"))
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 8) -> DataFrame:
-    """`docs` with `n_lines`, `n_removed` and `clean_text`: the text without the later copies of repeated runs."""
+def _judged(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
+    """(row, n_lines, n_removed, clean_text) for each row of `docs`."""
     dead = later_lines(docs, doc_id, text, min_words)
     th = F.xxhash64(F.col(f"`{text}`"), F.length(F.col(f"`{text}`")))
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("l_doc"), th.alias("l_th"))
@@ -104,22 +104,29 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dead")), lambda i: F.get(F.col("lines"), i))
     both = both.select("row", "dead", F.when(F.col("dead").isNotNull(), lines).alias("lines"), F.coalesce(F.size(F.filter(lines, lambda x: F.translate(x, BLANK_CHARS, "") != "")), F.lit(0)).alias("n_lines"))
     clean = F.when(F.col("dead").isNull(), body).otherwise(F.array_join(kept, "\n"))
-    return both.select("row.*", F.greatest("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("dead"), F.lit(0)).cast("long").alias("n_removed"), clean.alias("clean_text"))
+    removed = F.when(F.col("dead").isNull(), 0).otherwise(F.size("dead"))
+    return both.select("row", F.greatest("n_lines", F.lit(0)).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), clean.alias("clean_text"))
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 8) -> DataFrame:
+    """`docs` with `n_lines`, `n_removed` and `clean_text` (in place of any columns of these names)."""
+    added = ("n_lines", "n_removed", "clean_text")
+    return _judged(docs, doc_id, text, min_words).select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in added], *added)
 
 
 def query(docs: DataFrame) -> DataFrame:
     """For each document: its non-blank lines, those removed, and digests of what stays."""
-    done = dedup(docs.select("doc_id", "text")).withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long")))
+    done = dedup(docs.select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed", F.coalesce(F.length("clean_text"), F.lit(0)).cast("long").alias("kept_chars"), F.md5(F.coalesce("clean_text", F.lit(""))).alias("kept_md5"))
 
 
 def clean(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """The documents without later copies of repeated runs; those with no line left are left out."""
-    judged = dedup(docs, min_words=min_words).filter((F.col("n_removed") <= 0) | (F.col("n_removed") < F.col("n_lines")))
-    columns = {c: F.col(f"`{c}`") for c in docs.columns}
+    judged = _judged(docs, "doc_id", "text", min_words).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    columns = {c: F.col("row").getField(c).alias(c) for c in docs.columns}
     columns["text"] = F.col("clean_text").alias("text")
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("clean_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("clean_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")).alias("n_chars")
     return judged.select(*columns.values())
 
 

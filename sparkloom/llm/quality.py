@@ -82,7 +82,7 @@ def _placed(windows: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text", max_lost: float = 0.5) -> DataFrame:
-    """`docs` with one struct column `quality`: the base counts, the cleaned text and the verdict."""
+    """`docs` with one struct column `quality` (in place of any of that name): the base counts, the cleaned text, the verdict."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     # One projection a step: each reads columns that the step before has computed once.
     step = docs.withColumn("__words", words_of(t))
@@ -116,13 +116,14 @@ def measure(docs: DataFrame, text: str = "text", max_lost: float = 0.5) -> DataF
     )
     # A generator of one row: the optimizer moves no filter on the verdict below it, which would write the steps
     # out again for every reference.
-    return step.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array(found)).alias("quality"))
+    return step.select(*[F.col(f"`{c}`") for c in docs.columns if c != "quality"], F.explode(F.array(found)).alias("quality"))
 
 
 def clean(docs: DataFrame, text: str = "text", max_lost: float = 0.5) -> DataFrame:
     """The documents that stay, with their failing lines removed; same columns as `docs`."""
-    judged = measure(docs, text, max_lost)
-    columns = {c: F.col(f"`{c}`") for c in docs.columns}
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    judged = measure(held, "text", max_lost)
+    columns = {c: F.col("row").getField(c) for c in docs.columns}
     # A null text never stays, so the cleaned text is never null.
     columns[text] = F.col("quality.clean_text")
     if "n_chars" in columns:

@@ -147,18 +147,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000, max_lexicon:
     return Model(lexicon, trees, knots)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` (doc_id, text and any more columns) with the column `toxicity_score`."""
-    kept = [c for c in docs.columns if c != "toxicity_score"]
+def score(docs: DataFrame, model: Model, name: str = "toxicity_score") -> DataFrame:
+    """`docs` (text and any more columns) with the column `name` (in place of any of that name)."""
+    kept = [c for c in docs.columns if c != name]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Featurizer(model.lexicon)
         for b in batches:
-            found = model.scores(make.table(b.column(b.schema.get_field_index("text")).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*b.schema.names, "toxicity_score"])
+            found = model.scores(make.table(b.column(kept.index("text")).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*kept, name])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, f"{fields}, toxicity_score double")
+    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, f"{fields}, `{name}` double")
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -169,4 +169,5 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The documents that score below the threshold; same columns as `docs`."""
-    return score(docs, model).filter(F.col("toxicity_score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = "_" * (1 + max(map(len, docs.columns)))
+    return score(docs, model, name).filter(F.col(name) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
