@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.session import cut
+
 TREES, BITS = 32, 40
 SAMPLE, PROBES = 4096, 64
 CELL, LIMIT = 1024, 4096
@@ -91,7 +93,8 @@ def _packed(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in flat], pa.binary())], ["vec_id", "raw"])
 
     kind = rows.schema[vec_id].dataType.simpleString()
-    return good.filter(F.size("v") == width).mapInArrow(run, f"vec_id {kind}, raw binary"), width
+    # Rows that repeat id and vector count once; all later passes read the checkpoint.
+    return (cut(good.filter(F.size("v") == width).mapInArrow(run, f"vec_id {kind}, raw binary").dropDuplicates()) if width else None), width
 
 
 def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -99,8 +102,8 @@ def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores, ties to smaller ids; `scores` may be off in their last digits."""
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores and of those as large but for their last digits."""
     at = np.arange(len(scores))
     if len(scores) > k:
         least = np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -128,7 +131,7 @@ def fit(packed: DataFrame, width: int, k: int, target: float) -> Forest:
             scores = probes @ x.T
             for i in range(len(probes)):
                 at = np.flatnonzero(names != own[i])
-                at = at[_best(scores[i, at], names[at], k)][: 4 * k] if len(at) else at
+                at = at[_best(scores[i, at], k)][: 4 * k] if len(at) else at
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i)), pa.array(scores[i, at]), b.column(1).take(pa.array(at))], ["probe", "score", "raw"])
 
     order = Window.partitionBy("probe").orderBy(F.desc("score"), "raw")
@@ -221,9 +224,10 @@ def search(rows: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id"
                     continue
                 if ready is None:
                     ready = np.concatenate(strings), np.concatenate(ids), np.concatenate(vectors)
+                    ready += (k + len(ready[1]) - len(np.unique(ready[1])),)
                 yield from found(*ready, s, part.column(3).to_numpy(), names_, x)
 
-    def found(strings, ids, vectors, asked_s, asked_d, asked_id, asked_x) -> Iterator[pa.RecordBatch]:
+    def found(strings, ids, vectors, most, asked_s, asked_d, asked_id, asked_x) -> Iterator[pa.RecordBatch]:
         shift = (BITS - asked_d).astype(np.int64)
         low = asked_s >> shift << shift
         lo, hi = np.searchsorted(strings, low), np.searchsorted(strings, low + (np.int64(1) << shift))
@@ -237,9 +241,10 @@ def search(rows: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id"
                 scores = asked_x[some] @ vectors[a:z].T
                 for row, i in zip(scores, some, strict=True):
                     at = np.flatnonzero(ids[a:z] != asked_id[i])
-                    at = at[_best(row[at], ids[a:z][at], k)] + a
+                    at = at[_best(row[at], most)] + a
                     exact = _exact(vectors[at], asked_x[i])
-                    at, exact = (v[np.lexsort((ids[at], -exact))[:k]] for v in (at, exact))
+                    order = np.lexsort((ids[at], -exact))[:most]
+                    at, exact = at[order], exact[order]
                     out.append((np.full(len(at), asked_id[i]), ids[at], exact))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
