@@ -1 +1,13 @@
+"""The registered queries: operators bound to the input tables."""
 
+from __future__ import annotations
+
+from sparkloom.plans import usage_queries
+from sparkloom.plans.registry import ORACLES, QUERIES, Query
+
+
+def all_queries() -> tuple[dict[str, Query], dict[str, str]]:
+    return QUERIES, ORACLES
+
+
+flagship = usage_queries.usage_by_tool
