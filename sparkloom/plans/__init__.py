@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import usage_queries
+from sparkloom.plans import graph_queries, usage_queries
 from sparkloom.plans.registry import ORACLES, QUERIES, Query
 
 
@@ -10,4 +10,4 @@ def all_queries() -> tuple[dict[str, Query], dict[str, str]]:
     return QUERIES, ORACLES
 
 
-flagship = usage_queries.usage_by_tool
+flagship = graph_queries.module_coupling
