@@ -21,7 +21,7 @@ def callables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(
         F.col("p_brand").alias("file"), F.col("p_name").alias("name"), F.col("p_brand").alias("class_name"), F.concat("p_brand", F.lit("."), "p_name").alias("qualified_name"), F.lit("method").alias("kind"),
         F.lit(1).alias("param_count"), F.concat("p_type", F.lit(":"), F.col("p_size").cast("string")).alias("param_signature"), F.element_at(F.split("p_type", " "), 1).alias("return_type"),
-        F.when(F.col("p_retailprice") > 1000, "public").otherwise("private").alias("access"), (F.col("p_retailprice") > 1000).alias("exported"),
+        F.when(F.col("p_retailprice") > 950, "public").otherwise("private").alias("access"), (F.col("p_retailprice") > 950).alias("exported"),
         F.col("p_size").alias("complexity"), (F.col("p_size") * 2 + 5).alias("line_count"), F.floor(F.col("p_size") / 10).cast("int").alias("nesting_depth"), F.col("p_partkey").alias("seq"),
     )
 
@@ -35,10 +35,10 @@ def with_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CALLABLES = """f AS (
   SELECT p_partkey AS seq, p_brand AS file, p_name AS name, p_brand AS class_name, p_brand || '.' || p_name AS qualified_name, p_type || ':' || p_size AS signature, split_part(p_type, ' ', 1) AS return_type,
-         p_retailprice > 1000 AS exported, CAST(p_size AS BIGINT) AS complexity, CAST(p_size * 2 + 5 AS BIGINT) AS line_count, CAST(floor(p_size / 10) AS BIGINT) AS nesting FROM part)"""
+         p_retailprice > 950 AS exported, CAST(p_size AS BIGINT) AS complexity, CAST(p_size * 2 + 5 AS BIGINT) AS line_count, CAST(floor(p_size / 10) AS BIGINT) AS nesting FROM part)"""
 #: What calls what: big orders call the part by the qualified name.
-REVERSE = "rev AS (SELECT DISTINCT p_brand || '.' || p_name AS callee FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_extendedprice > 45000)"
-ENTRIES = "entry AS (SELECT DISTINCT p_brand AS file FROM part WHERE p_retailprice > 1900)"
+REVERSE = "rev AS (SELECT DISTINCT p_brand || '.' || p_name AS callee FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_extendedprice > 104000)"
+ENTRIES = "entry AS (SELECT DISTINCT p_brand AS file FROM part WHERE p_brand LIKE 'Brand#1%')"
 SHARED = "shared AS (SELECT DISTINCT p_name AS name FROM part WHERE p_size = 50)"
 DEAD = f"""{CALLABLES}, {REVERSE}, {ENTRIES}, {SHARED},
 dead AS (SELECT f.*, CASE WHEN exported THEN 'low' ELSE 'high' END AS confidence FROM f WHERE file NOT IN (SELECT file FROM entry) AND qualified_name NOT IN (SELECT callee FROM rev))"""
@@ -46,9 +46,9 @@ dead AS (SELECT f.*, CASE WHEN exported THEN 'low' ELSE 'high' END AS confidence
 
 def dead(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    line = table(spark, sf_dir, "lineitem").filter("l_extendedprice > 45000").select(F.col("l_partkey").alias("p_partkey"), F.col("l_orderkey").alias("caller"))
+    line = table(spark, sf_dir, "lineitem").filter("l_extendedprice > 104000").select(F.col("l_partkey").alias("p_partkey"), F.col("l_orderkey").alias("caller"))
     reverse = p.join(line, "p_partkey").select(F.concat("p_brand", F.lit("."), "p_name").alias("callee"), "caller")
-    entries = p.filter("p_retailprice > 1900").select(F.col("p_brand").alias("file"))
+    entries = p.filter("p_brand like 'Brand#1%'").select(F.col("p_brand").alias("file"))
     return quality.dead_functions(callables(spark, sf_dir), reverse, entries, p.filter("p_size = 50").select(F.col("p_name").alias("name")))
 
 
@@ -65,7 +65,7 @@ def dead_code_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CALLABLES}, {REVERSE} SELECT seq, qualified_name, line_count FROM f WHERE exported AND qualified_name NOT IN (SELECT callee FROM rev) ORDER BY line_count DESC, seq LIMIT 30")
 def dead_exported_top30(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").filter("l_extendedprice > 45000").select(F.col("l_partkey").alias("p_partkey"))
+    p, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").filter("l_extendedprice > 104000").select(F.col("l_partkey").alias("p_partkey"))
     reverse = p.join(line, "p_partkey").select(F.concat("p_brand", F.lit("."), "p_name").alias("callee"))
     functions = callables(spark, sf_dir).withColumn("kind", F.lit("function"))
     return quality.dead_exported(functions, reverse).select("seq", "qualified_name", F.col("line_count").cast("long").alias("line_count"))
