@@ -142,11 +142,15 @@ COMMENTS = re.compile(r"//[^\n]*|/\*.*?\*/", re.S)
 STRINGS = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
 RUST_STRINGS = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])'", re.S)
 CALL = re.compile(r"(?<![\w.])((?:[A-Za-z_$][\w$]*(?:\?\.|::|\.))*[A-Za-z_$][\w$]*)!?\s*(?:<[\w, ]+>)?\(")
-KEYWORDS = frozenset("if for while switch catch return function fn func match loop typeof new await super import constructor async else do in of as where impl struct enum select go defer".split())
+KEYWORDS = {
+    "typescript": frozenset("if for while switch catch return function typeof new await super import constructor async else do in of as".split()),
+    "go": frozenset("if for switch return func go defer select case".split()),
+    "rust": frozenset("if for while loop match return fn as where impl in".split()),
+}
 CONTROL = {
-    "typescript": (re.compile(r"\b(?:if|for|while|case|catch|do)\b|\?(?![.?:])[^:\n]*:|&&|\|\||\?\?"), re.compile(r"\b(?:if|for|while|switch|try|do)\b[^{};]*$|\bcatch\b[^{};]*$")),
-    "go": (re.compile(r"\b(?:if|for|case)\b"), re.compile(r"\b(?:if|for|switch|select)\b[^{};]*$")),
-    "rust": (re.compile(r"\b(?:if|for|while|loop)\b|=>"), re.compile(r"\b(?:if|for|while|loop|match)\b[^{};]*$")),
+    "typescript": (re.compile(r"\b(?:if|for|while|case|catch|do)\b|\?(?![.?:])[^:\n]*:|&&|\|\||\?\?"), re.compile(r"\b(?:if|else|for|while|switch|try|do|catch)\b")),
+    "go": (re.compile(r"\b(?:if|for|case)\b"), re.compile(r"\b(?:if|for|switch|select)\b")),
+    "rust": (re.compile(r"\b(?:if|for|while|loop)\b|=>"), re.compile(r"\b(?:if|for|while|loop|match)\b")),
 }
 
 
@@ -168,20 +172,28 @@ def closing(text: str, at: int, pair: str = "{}") -> int:
     return len(text) - 1
 
 
+def _head(body: str, brace: int) -> str:
+    """What stands before an opening brace: its line after any other brace, and lines before while brackets stay open."""
+    start = max(body.rfind(c, 0, brace) for c in "{}\n") + 1
+    while start > 1 and body.count(")", start, brace) > body.count("(", start, brace) and body[start - 1] == "\n":
+        start = max(body.rfind(c, 0, start - 1) for c in "{}\n") + 1
+    return body[start:brace]
+
+
 def _metrics(body: str, language: str, receiver: str | None) -> dict:
     decisions, control = CONTROL[language]
     depth = deepest = 0
     stack = []
     for m in re.finditer(r"[{}]", body):
         if m[0] == "{":
-            opens = bool(control.search(body[max(0, body.rfind("\n", 0, m.start()) - 200) : m.start()].split("}")[-1].split(";")[-1]))
+            opens = bool(control.search(_head(body, m.start())))
             stack.append(opens)
             depth += opens
             deepest = max(deepest, depth)
         elif stack:
             depth -= stack.pop()
     calls = [re.sub(rf"^(?:this|self{'|' + receiver if receiver else ''})\.", "", c) for c in CALL.findall(body)]
-    calls = [c for c in calls if c.split(".")[-1].split("::")[-1] not in KEYWORDS]
+    calls = [c for c in calls if c.split(".")[-1].split("::")[-1] not in KEYWORDS[language]]
     own = re.findall(r"\bthis\.(\w+)" if language == "typescript" else r"\bself\.(\w+)", body)
     return {"calls": _distinct(calls), "complexity": 1 + len(decisions.findall(body)), "nesting_depth": deepest, "instance_vars": _distinct(own)}
 
@@ -233,13 +245,13 @@ def typescript(text: str) -> dict:
             gaps.append(blank[at : n.start()])
             more, stop = _body(text, blank, n.end() - 1, "typescript")
             access = next((a for a in ("private", "protected") if a in n[2]), "private" if n[3].startswith("#") else "public")
-            if n[3] not in ("constructor", *KEYWORDS):
+            if n[3] not in KEYWORDS["typescript"]:
                 out["callables"].append(_callable(n[3], m[3], params=_colon_params(text[n.start(4) : n.end(4)]), return_type=(n[5] or "").strip(), access=access, is_async="async" in n[2], is_static="static" in n[2], exported=access == "public", decorators=re.findall(r"@\w+(?:\([^)]*\))?", text[n.start(1) : n.end(1)]), **more | {"line_count": text.count("\n", n.start(3), stop) + 1}))
             at = stop + 1
         gaps.append(blank[at:end])
         for gap in gaps:
             for f in field_.finditer("\n" + gap + "\n"):
-                if f[2] not in KEYWORDS | {"public", "private", "static"}:
+                if f[2] not in KEYWORDS["typescript"] | {"public", "private", "static"}:
                     out["properties"].append({"class_name": m[3], "name": f[2], "type": (f[3] or "any").strip(), "access": next((a for a in ("private", "protected") if a in f[1]), "public")})
     outside = lambda k: not any(a <= k <= b for a, b in spans)
     taken: list[tuple[int, int]] = []
@@ -252,7 +264,7 @@ def typescript(text: str) -> dict:
         else:
             stop = closing(blank, m.end() - 1, "()")
             params, rest = text[m.end() : stop], stop + 1
-        head = re.compile(r"\s*(?::\s*([^{=;]+?))?\s*(?:=>)?\s*(\{)?").match(blank, rest)
+        head = re.compile(r"\s*(?::\s*([^{=;]+?)\s*(?==>|[{;\n]))?\s*(?:=>)?\s*(\{)?").match(blank, rest)
         arrow = "=>" in blank[rest : head.end()] or bool(m[8])
         if not m[4] and not arrow:
             continue
@@ -304,7 +316,7 @@ def go(text: str) -> dict:
             embedded = [x.lstrip("*") for x in lines if re.fullmatch(r"\*?[\w.]+", x)]
             out["classes"].append({"name": m[1], "extends": embedded[0] if embedded else None, "implements": embedded[1:], "decorators": []})
             for x in lines:
-                f = re.match(r"([\w, ]+?)\s+([\w.*\[\]{}()]+)", x)
+                f = re.match(r"((?:\w+\s*,\s*)*\w+)\s+([\w.*\[\]{}()]+)", x)
                 if f and not re.fullmatch(r"\*?[\w.]+", x):
                     out["properties"] += [{"class_name": m[1], "name": n.strip(), "type": f[2], "access": "public" if public(n.strip()) else "private"} for n in f[1].split(",")]
         else:
