@@ -76,13 +76,13 @@ def synthetic_edges(callables: DataFrame, frameworks: Iterable[str], user_rules:
     active = [r[1:] for r in RULES if not r[0] or r[0] in set(frameworks)] + list(user_rules or [])
     if len(active) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")
-    edges = F.array()
     hits = []
     for caller, decorators, names, globs in active:
         either = lambda ps: "|".join(f"(?:{p})" for p in ps)
         fits = F.lit(False)
         if decorators:
-            fits = fits | F.exists(F.coalesce("decorators", F.array().cast("array<string>")), lambda d, p=either(decorators): d.rlike(p))
+            marks = F.filter(F.coalesce("decorators", F.array().cast("array<string>")), lambda d: d.rlike(either(decorators)))  # noqa: B023  used at once
+            fits = fits | (F.size(marks) > 0)
         if names:
             fits = fits | F.col("name").rlike(either(names))
         if globs:
