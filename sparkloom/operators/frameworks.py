@@ -224,7 +224,8 @@ def fastapi_routes(callables: DataFrame) -> DataFrame:
     response = F.regexp_extract("d", r"response_model\s*=\s*([\w\[\], .|]+?)\s*(?:,\s*\w+\s*=|\)$)", 1)
     many = F.regexp_extract_all(F.regexp_extract("d", r"methods\s*=\s*\[([^\]]*)\]", 1), F.lit(r"['\"](\w+)['\"]"), 1)
     method = F.when(verb == "websocket", F.array(F.lit("WS"))).when(verb == "api_route", F.transform(many, F.upper)).otherwise(F.array(F.upper(verb)))
-    depends = F.array_distinct(F.flatten(F.transform(F.coalesce("params", F.array().cast("array<struct<name:string,type:string,default:string>>")), lambda p: F.regexp_extract_all(F.concat_ws(" ", p["type"], p["default"]), F.lit(r"Depends\((\w+)"), 1))))
+    named = F.transform("params", lambda p: F.regexp_extract_all(F.concat_ws(" ", p["type"], p["default"]), F.lit(r"Depends\((\w+)"), 1))
+    depends = F.array_distinct(F.flatten(F.coalesce(named, F.array().cast("array<array<string>>"))))
     auth = F.exists(depends, lambda d: F.lower(d).rlike("auth|current_user|token|security"))
     return rows.select("file", "handler", method.alias("methods"), F.regexp_extract("d", FAST_ROUTE, 3).alias("path"), F.when(response != "", response).alias("response_model"), depends.alias("dependencies"), auth.alias("auth"))
 
