@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shipped(df: DataFrame) -> DataFrame:
+    """`df`, after sending this package to the executors (once for each context): Python tasks need no installation."""
+    context = df.sparkSession.sparkContext
+    if not getattr(context, "_sparkloom_shipped", False):
+        package = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="sparkloom-code-")  # on the driver, whose file server hands it out
+        atexit.register(shutil.rmtree, folder, True)
+        with zipfile.ZipFile(f"{folder}/sparkloom.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            for file in sorted(package.rglob("*.py")):
+                z.write(file, file.relative_to(package.parent))
+        context.addPyFile(f"{folder}/sparkloom.zip")
+        context._sparkloom_shipped = True
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in `spark.checkpoint.dir`, which driver and executors share.
 

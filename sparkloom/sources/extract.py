@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.session import shipped
+
 PARAM = "struct<name:string,type:string,optional:boolean,default:string>"
 CALLABLE = (
     f"struct<name:string,class_name:string,kind:string,params:array<{PARAM}>,return_type:string,access:string,is_async:boolean,is_static:boolean,exported:boolean,"
@@ -426,7 +428,7 @@ def parse(files: DataFrame) -> DataFrame:
                     rows.append({"path": path, "language": language} | EMPTY | {"error": f"{type(e).__name__}: {e}"})
             yield pd.DataFrame(rows, columns=["path", "language", *EMPTY, "error"])
 
-    return files.select("path", "language", "content").mapInPandas(run, RECORD)
+    return files.select("path", "language", "content").transform(shipped).mapInPandas(run, RECORD)
 
 
 def callables(records: DataFrame) -> DataFrame:
