@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.session import cut
+from sparkloom.session import cut, shipped
 
 TREES, BITS = 32, 40
 SAMPLE, PROBES = 4096, 64
@@ -94,7 +94,7 @@ def _packed(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
     kind = rows.schema[vec_id].dataType.simpleString()
     # Rows that repeat id and vector count once; all later passes read the checkpoint.
-    return (cut(good.filter(F.size("v") == width).mapInArrow(run, f"vec_id {kind}, raw binary").dropDuplicates()) if width else None), width
+    return (cut(good.filter(F.size("v") == width).transform(shipped).mapInArrow(run, f"vec_id {kind}, raw binary").dropDuplicates()) if width else None), width
 
 
 def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -118,7 +118,7 @@ def fit(packed: DataFrame, width: int, k: int, target: float) -> Forest:
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int64()), pa.array([float((x * x).sum(axis=1).max())])], ["n", "m"])
 
-    total = packed.select("raw").mapInArrow(norms, "n long, m double").agg(F.sum("n").alias("n"), F.max("m").alias("m")).first()
+    total = packed.select("raw").transform(shipped).mapInArrow(norms, "n long, m double").agg(F.sum("n").alias("n"), F.max("m").alias("m")).first()
     some = packed.orderBy(F.xxhash64("vec_id"), "vec_id", "raw").limit(SAMPLE).collect()
     sample, ids = np.frombuffer(b"".join(r["raw"] for r in some), dtype="<f8").reshape(-1, width), np.array([r["vec_id"] for r in some])
     forest = Forest(sample, total["n"], float(np.sqrt(total["m"])) * (1 + 1e-12))
@@ -135,7 +135,7 @@ def fit(packed: DataFrame, width: int, k: int, target: float) -> Forest:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i)), pa.array(scores[i, at]), b.column(1).take(pa.array(at))], ["probe", "score", "raw"])
 
     order = Window.partitionBy("probe").orderBy(F.desc("score"), "raw")
-    near = packed.mapInArrow(neighbours, "probe long, score double, raw binary").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).collect()
+    near = packed.transform(shipped).mapInArrow(neighbours, "probe long, score double, raw binary").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).collect()
     if near:
         at = np.array([r["probe"] for r in near])
         strings, found = forest.strings(probes, query=True), forest.strings(np.frombuffer(b"".join(r["raw"] for r in near), dtype="<f8").reshape(-1, width))
@@ -192,11 +192,11 @@ def search(rows: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id"
                 cell, n = np.unique(at[:, t], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), t, dtype=np.int32)), pa.array(cell), pa.array(n, pa.int64())], ["tree", "cell", "n"])
 
-    crowded = packed.select("raw").mapInArrow(cells, "tree int, cell long, n long").groupBy("tree", "cell").agg(F.sum("n").alias("n"))
+    crowded = packed.select("raw").transform(shipped).mapInArrow(cells, "tree int, cell long, n long").groupBy("tree", "cell").agg(F.sum("n").alias("n"))
     crowded = crowded.filter(F.col("n") > LIMIT).select("tree", "cell", F.ceil(F.col("n") / LIMIT).cast("int").alias("parts"))
-    asked = packed.filter(queries).mapInArrow(route, dealt).join(crowded, ["tree", "cell"], "left")
+    asked = packed.filter(queries).transform(shipped).mapInArrow(route, dealt).join(crowded, ["tree", "cell"], "left")
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    stored = packed.mapInArrow(index, dealt).join(crowded, ["tree", "cell"], "left")
+    stored = packed.transform(shipped).mapInArrow(index, dealt).join(crowded, ["tree", "cell"], "left")
     stored = stored.withColumn("part", F.pmod(F.xxhash64("id", "raw"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     both = stored.unionByName(asked).repartition("tree", "cell", "part").sortWithinPartitions("tree", "cell", "part", F.when(F.col("depth") < 0, 0).otherwise(1), "string", "depth")
 
@@ -250,7 +250,7 @@ def search(rows: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id"
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = both.select(*names, "part").mapInArrow(scan, schema).withColumn("rank", F.dense_rank().over(order))
+    ranked = both.select(*names, "part").transform(shipped).mapInArrow(scan, schema).withColumn("rank", F.dense_rank().over(order))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").distinct()
 
 

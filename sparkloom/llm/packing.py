@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import byte_bpe
+from sparkloom.session import shipped
 
 COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
@@ -112,4 +113,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, en
         if rows:
             yield out()
 
-    return docs.select("doc_id", F.col("text")).mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"`{c}` long" for c in COLUMNS))
+    return docs.select("doc_id", F.col("text")).transform(shipped).mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"`{c}` long" for c in COLUMNS))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.boosting import Boosted, isotonic
-from sparkloom.session import cut
+from sparkloom.session import cut, shipped
 
 WORD = re.compile(r"[^\W\d_]+")
 ODD = re.compile(r"(?<=[^\W\d_])[0-9@$*_#!.\-]+(?=[^\W\d_])")
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000, max_lexicon:
     sample = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")
     sample = cut(sample.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(5))))
     known = sample.filter("half < 2")
-    counts = known.select("text", "y").mapInArrow(_key_counts, "key string, n long, k long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    counts = known.select("text", "y").transform(shipped).mapInArrow(_key_counts, "key string, n long, k long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     totals = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("k")).first()
     bad, good = max(1, totals["k"]), max(1, totals["n"] - totals["k"])
     odds = F.log((F.col("k") + 0.3) / F.lit(bad + 0.6)) - F.log((F.col("n") - F.col("k") + 0.3) / F.lit(good + 0.6))
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000, max_lexicon:
             x = make.table(b["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["half"], b["y"], pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "half", "y", "x"])
 
-    rows = sample.filter("half >= 2").select("doc_id", "half", F.col("y").cast("int"), "text").mapInArrow(features, "doc_id long, half long, y int, x array<double>").collect()
+    rows = sample.filter("half >= 2").select("doc_id", "half", F.col("y").cast("int"), "text").transform(shipped).mapInArrow(features, "doc_id long, half long, y int, x array<double>").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     x = np.array([r["x"] for r in rows], dtype=float).reshape(len(rows), 20)
     y, late = np.array([float(r["y"] > 0) for r in rows]), np.array([r["half"] == 4 for r in rows], dtype=bool)
@@ -158,7 +158,7 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity_score") -> DataFr
             found = model.scores(make.table(b.column(kept.index("text")).to_pylist()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*kept, name])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, f"{fields}, `{name}` double")
+    return docs.select(*[F.col(f"`{c}`") for c in kept]).transform(shipped).mapInArrow(run, f"{fields}, `{name}` double")
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

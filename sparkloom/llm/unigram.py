@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.session import shipped
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 GENERATION = 200_000
@@ -293,7 +295,7 @@ def count_tokens(docs: DataFrame, model: str | None = None) -> DataFrame:
             found = [counter.count(t.as_py() or "") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for _, n in found], pa.int64()), pa.array([s for s, _ in found], pa.float64())], ["doc_id", "n_pieces", "score"])
 
-    return docs.select("doc_id", F.col("text")).mapInArrow(run, f"doc_id {kind}, n_pieces long, score double")
+    return docs.select("doc_id", F.col("text")).transform(shipped).mapInArrow(run, f"doc_id {kind}, n_pieces long, score double")
 
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
@@ -312,7 +314,7 @@ def _coded(docs: DataFrame, model: str | None, schema: str, make: Callable, type
             rows = [make(codec, t.as_py() or "") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], ["doc_id", *names])
 
-    return docs.select("doc_id", F.col("text")).mapInArrow(run, f"doc_id {kind}, {schema}")
+    return docs.select("doc_id", F.col("text")).transform(shipped).mapInArrow(run, f"doc_id {kind}, {schema}")
 
 
 def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
@@ -325,7 +327,7 @@ def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([codec.decode(np.array(x or [], dtype="<u4")) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return rows.select("doc_id", "ids").transform(shipped).mapInArrow(run, f"doc_id {kind}, text string")
 
 
 def _digest(codec: Codec, text: str) -> tuple:
