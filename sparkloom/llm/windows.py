@@ -1,0 +1,110 @@
+"""Candidate pairs of similar texts from windows of words, verified by the similarity of their shingle sets.
+
+SimHash fingerprints within 3 bits find texts with very few changes; at a similarity of 0.8 on five-word
+shingles two fingerprints differ by about ten of 64 bits, which no part of the bits survives. Changes are
+local, though, so such texts share many windows whole. Windows end where a word's hash says so (every
+`EVERY` words on average, between `LEAST` and `MOST`), hence at the same words in both texts.
+
+Each text keeps its rarest windows: of n windows the n - floor(0.3 n) that stand in the fewest texts. Texts
+that share over 30 % of their windows share one of these, and passages that many texts quote rank last. The
+texts of a window and of a class of lengths (each text is in two, so that lengths within the similarity meet)
+meet by the smallest and the largest text: an aggregation and a join that splits when skewed, so a window of
+any size makes four candidates at most for each text and never its pairs. Candidates whose lengths alone rule
+the similarity out go at once; the others are verified on whole shingle sets. Two texts can miss each other
+where they are alike but the ends of all their windows are unlike; tests and the README give the recall.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sparkloom.session import cut, shipped
+
+EVERY, LEAST, MOST = 12, 5, 48
+digest = xxhash.xxh64_intdigest
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """The words of fingerprints: runs of anything but ASCII blanks, ASCII capitals lowered."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def windows(words: list[bytes]) -> np.ndarray:
+    """Distinct hashes of a text's windows, as signed longs; a last window shorter than LEAST is left out unless alone."""
+    found, start = set(), 0
+    for i, w in enumerate(words, 1):
+        size = i - start
+        if size >= MOST or (size >= LEAST and digest(w) % EVERY == 0):
+            found.add(digest(b" ".join(words[start:i])))
+            start = i
+    if len(words) - start >= LEAST or (words and not found):
+        found.add(digest(b" ".join(words[start:])))
+    return np.fromiter(found, dtype=np.uint64, count=len(found)).view(np.int64)
+
+
+def shingles(words: list[bytes], size: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; a shorter text has one."""
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    grams = zip(*(words[k:] for k in range(size)), strict=False) if len(words) >= size else [words]
+    return np.unique(np.fromiter((digest(b" ".join(g)) for g in grams), dtype=np.uint64))
+
+
+def similar_pairs(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(src, dst) of verified pairs that connect similar texts. `docs`: node (distinct), text."""
+    kind = docs.schema["node"].dataType.simpleString()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, counts = [], []
+            for t in b.column(1):
+                w = words_of(t.as_py())
+                rows.append(windows(w))
+                counts.append(len(w))
+            sizes = np.array([len(r) for r in rows], dtype=np.int64)
+            at = pa.array(np.repeat(np.arange(len(rows)), sizes))
+            keys = np.concatenate(rows) if rows else np.empty(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(np.repeat(np.array(counts, dtype=np.int64), sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(keys)], ["node", "words", "n", "key"])
+
+    each = cut(docs.select("node", "text").transform(shipped).mapInArrow(split, f"node {kind}, words long, n long, key long"))
+    shared = each.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    rows = each.join(shared, "key")
+    # Windows of one text alone are the rarest; the shared ones follow by their number of texts.
+    ranked = rows.groupBy("node", "words", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("ks"))
+    alone = F.col("n") - F.size("ks")
+    first = F.slice("ks", 1, F.greatest(F.col("n") - F.floor(F.col("n") * 0.3) - alone, F.lit(1)).cast("int"))
+    kept = cut(ranked.select("node", "words", F.explode(first).alias("k")).select("node", "words", F.col("k.key").alias("key")))
+    length = F.floor(F.log(F.greatest("words", F.lit(1)).cast("double")) / float(np.log(1 / similarity))).cast("int")
+    kept = kept.withColumn("length", F.explode(F.array(length, length + 1)))
+    ends = kept.groupBy("key", "length").agg(F.min(F.struct("node", "words")).alias("low"), F.max(F.struct("node", "words")).alias("high"), F.count("*").alias("c")).filter("c > 1")
+    met = kept.join(ends, ["key", "length"]).select("node", "words", F.explode(F.array("low", "high")).alias("e"))
+    close = F.least("words", "e.words") >= F.greatest("words", "e.words") * similarity
+    pairs = met.filter((F.col("e.node") != F.col("node")) & close).select(F.least("node", "e.node").alias("src"), F.greatest("node", "e.node").alias("dst")).distinct()
+    pairs = cut(pairs)
+    wanted = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(words_of(t.as_py()), size).tobytes() for t in b.column(1)], pa.binary())], ["node", "sh"])
+
+    sets = cut(docs.select("node", "text").join(wanted, "node", "left_semi").transform(shipped).mapInArrow(hashed, f"node {kind}, sh binary"))
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
+                p, q = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                if both >= similarity * (len(p) + len(q) - both) and len(p):
+                    good.append(i)
+            at = pa.array(good, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["src", "dst"])
+
+    a, z = sets.select(F.col("node").alias("src"), F.col("sh").alias("a")), sets.select(F.col("node").alias("dst"), F.col("sh").alias("z"))
+    return pairs.join(a, "src").join(z, "dst").select("src", "dst", "a", "z").transform(shipped).mapInArrow(verified, f"src {kind}, dst {kind}")

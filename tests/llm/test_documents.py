@@ -196,11 +196,33 @@ def test_simhash_query_and_keep_first(docs):
     assert all(re.fullmatch("[0-9a-f]{16}", r["fingerprint"]) for r in got.collect())
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
-    firsts = {r["component_id"] for r in simhash.components(docs, size=5).collect() if r["doc_id"] is not None}
+    firsts = {r["component_id"] for r in simhash.components(docs, size=5, similarity=0.8).collect() if r["doc_id"] is not None}
     ids = [r["doc_id"] for r in kept.collect() if r["doc_id"] is not None]
     assert sorted(ids) == sorted(firsts)
 
 
+def test_similar_texts_meet(spark, make_prose):
+    """Copies with one word in forty changed, hot shared passages, and unrelated texts, against all pairs."""
+    from tests_llm_plain import plain_groups
+
+    r = np.random.default_rng(4)
+    texts, passage = {}, make_prose(900, 60)
+    for k in range(12):
+        base = make_prose(1000 + k, 150, 3000).split(" ")
+        for j in range(6):
+            words = list(base)
+            for i in r.choice(len(words), j, replace=False):
+                words[i] = f"edit{k}x{j}x{i}"
+            texts[k * 10 + j] = " ".join(words)
+    texts |= {500 + k: passage + " " + make_prose(2000 + k, 150, 3000) for k in range(40)}
+    texts |= {600 + k: make_prose(3000 + k, 12) for k in range(20)} | {700: "", 701: None, 702: "one"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in simhash.components(df, size=5, similarity=0.8).collect()}
+    want = plain_groups(texts)
+    assert len(set(want.values())) < 110 < len(texts)
+    assert got == want
+
+
 # --- packing ---------------------------------------------------------------------------------------------
 
 

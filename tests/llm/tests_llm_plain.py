@@ -1,10 +1,8 @@
 """The pipeline in plain Python, but for the fitted model of toxicity, which is the operator's own."""
 
 import re
-import zlib
 
-import numpy as np
-from test_documents import plain_components, plain_counts, plain_dedup, plain_fingerprint, words_of
+from test_documents import plain_counts, plain_dedup, plain_fingerprint, words_of
 
 from sparkloom.llm import toxicity
 
@@ -39,6 +37,30 @@ def pieces_of(rows):
     return {k: sum(n for _, n, _, _ in v) == v[0][3] and v[0][3] for k, v in out.items()}
 
 
+def similarity(a, b, size=5):
+    x, y = ({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} for w in ([v.lower() for v in words_of(t)] for t in (a, b)))
+    return len(x & y) / len(x | y)
+
+
+def plain_groups(texts, least=0.8):
+    """id -> smallest id reachable over fingerprints within 3 bits and similar shingle sets."""
+    prints = {k: plain_fingerprint(t, 5) for k, t in texts.items()}
+    parent = {k: k for k in texts}
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    order = sorted(texts)
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= 3 or (words_of(texts[a]) and words_of(texts[b]) and similarity(texts[a], texts[b]) >= least):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {k: find(k) for k in order}
+
+
 def plain_pipeline(spark, sf_dir, docs):
     from tokenizers import Tokenizer
 
@@ -51,7 +73,7 @@ def plain_pipeline(spark, sf_dir, docs):
     texts = {k: t for (k, t), s in zip(texts.items(), scores, strict=True) if s < 0.5}
     cleaned = plain_dedup(list(texts.items()))
     texts = {k: cleaned[k, t] for k, t in texts.items() if not words_of(t) or words_of(cleaned[k, t])}
-    parts = plain_components([(k, plain_fingerprint(t, 5)) for k, t in texts.items()])
+    parts = plain_groups(texts)
     texts = {k: t for k, t in texts.items() if parts[k] == k}
     coder = Tokenizer.from_file(byte_bpe.default_path())
     sizes = {k: len(coder.encode(t, add_special_tokens=False).ids) + 1 for k, t in texts.items()}
