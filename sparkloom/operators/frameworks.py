@@ -244,3 +244,124 @@ def link_urls(patterns: DataFrame, routes_: DataFrame) -> DataFrame:
     first = patterns.alias("p").join(routes_.alias("r"), fits).groupBy(F.col("p.seq").alias("pattern"), F.col("p.url").alias("url")).agg(F.min("r.seq").alias("seq"))
     last = first.groupBy("seq").agg(F.max_by("url", "pattern").alias("url"))
     return routes_.join(last, "seq", "left")
+
+
+# --- more of django, fastapi and nuxt --------------------------------------------------------------------
+
+#: Template-tag kinds by decorator (fixed values).
+TAGS = {"simple_tag": "simple_tag", "inclusion_tag": "inclusion_tag", "filter": "filter", "tag": "block_tag"}
+
+
+def template_tags(callables: DataFrame) -> DataFrame:
+    """(file, name, kind) of functions registered as template tags."""
+    table = F.create_map(*[F.lit(x) for pair in TAGS.items() for x in pair])
+    rows = callables.filter(F.col("file").contains("templatetags/") & F.col("class_name").isNull()).select("file", "name", F.explode("decorators").alias("d"))
+    kind = F.try_element_at(table, F.regexp_extract("d", r"^@?(?:register\.)?(\w+)(?:\(|$)", 1))
+    return rows.select("file", "name", kind.alias("kind")).filter("kind is not null").distinct()
+
+
+def django_views(classes: DataFrame, callables: DataFrame) -> DataFrame:
+    """(file, view, methods, kind): class-based views with their HTTP methods, and functions with a view's decorator or a first `request`."""
+    verbs = ["get", "post", "put", "patch", "delete", "head", "options"]
+    views = class_kinds(classes).filter("kind = 'view'").select("file", F.col("name").alias("class_name")).distinct()
+    own = callables.filter(F.col("name").isin(*verbs)).groupBy("file", "class_name").agg(F.array_sort(F.collect_set(F.upper("name"))).alias("methods"))
+    by_class = views.join(own, ["file", "class_name"], "left").select("file", F.col("class_name").alias("view"), F.coalesce("methods", F.array(F.lit("ALL"))).alias("methods"), F.lit("class").alias("kind"))
+    marks = F.filter("decorators", lambda d: d.rlike(r"^@?(?:[\w.]+\.)?(login_required|permission_required|user_passes_test|csrf_exempt|csrf_protect|require_http_methods|require_GET|require_POST|require_safe|api_view|action)\b"))
+    listed = F.transform(F.flatten(F.transform(marks, lambda d: F.regexp_extract_all(d, F.lit(r"['\"]([A-Za-z]+)['\"]"), 1))), F.upper)
+    first = F.try_element_at("params", F.lit(1))["name"] == "request"
+    answers = F.exists("calls", lambda c: c.rlike(r"(?i)(^|\.)(render|redirect|\w*Response|get_object_or_404)$"))
+    functions = callables.filter(F.col("class_name").isNull() & ((F.size(marks) > 0) | (first & answers)))
+    by_function = functions.select("file", F.col("name").alias("view"), F.when(F.size(listed) > 0, F.array_distinct(listed)).otherwise(F.array(F.lit("ALL"))).alias("methods"), F.lit("function").alias("kind"))
+    return by_class.unionByName(by_function)
+
+
+def django_middleware(classes: DataFrame, callables: DataFrame) -> DataFrame:
+    """(file, name): classes with a middleware base, or with both `__init__` and `__call__`."""
+    based = class_kinds(classes).filter("kind = 'middleware'").select("file", "name")
+    both = callables.filter("class_name is not null").groupBy("file", F.col("class_name").alias("name")).agg(F.bool_or(F.col("name") == "__call__").alias("c"), F.bool_or(F.col("name") == "__init__").alias("i")).filter("c and i").select("file", "name")
+    return based.unionByName(both).distinct()
+
+
+def forms(classes: DataFrame, callables: DataFrame) -> DataFrame:
+    """(file, form, validators): forms with their `clean_*` methods."""
+    checks = callables.filter(F.col("name").startswith("clean_")).groupBy("file", F.col("class_name").alias("form")).agg(F.array_sort(F.collect_set("name")).alias("validators"))
+    rows = class_kinds(classes).filter("kind = 'form'").select("file", F.col("name").alias("form")).distinct().join(checks, ["file", "form"], "left")
+    return rows.withColumn("validators", F.coalesce("validators", F.array().cast("array<string>")))
+
+
+def admin_registrations(classes: DataFrame, callables: DataFrame, module_calls: DataFrame) -> DataFrame:
+    """(file, admin, model): admin classes with the model they are registered for. `module_calls`: file, call."""
+    admins = class_kinds(classes).filter("kind = 'admin'").select("file", F.col("name").alias("admin")).distinct()
+    pattern = r"admin\.site\.register\(\s*(\w+)\s*(?:,\s*(\w+))?"
+    called = module_calls.filter(F.col("call").rlike(pattern)).select(F.regexp_extract("call", pattern, 2).alias("admin"), F.regexp_extract("call", pattern, 1).alias("model"))
+    marked = classes.select("name", F.explode("decorators").alias("d")).select(F.col("name").alias("admin"), F.regexp_extract("d", r"^@?admin\.register\(\s*(\w+)", 1).alias("model")).filter("model <> ''")
+    models = called.unionByName(marked).groupBy("admin").agg(F.min("model").alias("model"))
+    return admins.join(models, "admin", "left").select("file", "admin", "model")
+
+
+#: Where a parameter comes from by a marker in its type (fixed values, in this order).
+PARAM_PLACES = [("Query", "query"), ("Path", "path"), ("Body", "body"), ("Header", "header"), ("Cookie", "cookie"), ("Form", "body"), ("File", "body"), ("UploadFile", "body"), ("Depends", "")]
+
+
+def fastapi_params(callables: DataFrame) -> DataFrame:
+    """(file, handler, name, type, required, location) of a route handler's parameters; dependencies are none."""
+    rows = callables.filter(F.exists("decorators", lambda d: d.rlike(FAST_ROUTE))).select("file", F.col("qualified_name").alias("handler"), F.explode("params").alias("p"))
+    place = F.lit("query")
+    for marker, where in reversed(PARAM_PLACES):
+        place = F.when(F.contains(F.col("p.type"), F.lit(marker)), where).otherwise(place)
+    out = rows.filter(~F.col("p.name").isin("self", "cls")).select("file", "handler", F.col("p.name").alias("name"), F.col("p.type").alias("type"), (~F.coalesce("p.optional", F.lit(False)) & F.col("p.default").isNull()).alias("required"), place.alias("location"))
+    return out.filter("location <> ''")
+
+
+def fastapi_hooks(callables: DataFrame) -> DataFrame:
+    """(file, key, name, kind): middleware, event handlers (`event:` keys) and exception handlers (`exception:` keys)."""
+    rows = callables.filter("class_name is null").select("file", "name", F.explode("decorators").alias("d"))
+    event = F.regexp_extract("d", r"^@?(?:app\.)?on_event\(\s*['\"](\w+)", 1)
+    kinds = F.array_compact(F.array(
+        F.when(F.contains("d", F.lit("middleware")), F.struct(F.col("name").alias("key"), F.lit("middleware").alias("kind"))),
+        F.when(F.col("d").rlike(r"^@?(?:app\.)?on_event\b"), F.struct(F.concat(F.lit("event:"), "name").alias("key"), F.when(event == "", "lifecycle").otherwise(event).alias("kind"))),
+        F.when(F.contains("d", F.lit("exception_handler")), F.struct(F.concat(F.lit("exception:"), "name").alias("key"), F.lit("exception_handler").alias("kind"))),
+    ))
+    return rows.select("file", "name", F.explode(kinds).alias("k")).select("file", "k.key", "name", "k.kind").distinct()
+
+
+def page_meta(files: DataFrame) -> DataFrame:
+    """(file, layout, middleware) of `definePageMeta({...})` in a page's text. `files`: file, content."""
+    meta = F.regexp_extract("content", r"(?s)definePageMeta\(\s*\{(.*?)\}\s*\)", 1)
+    layout = F.regexp_extract(meta, r"layout\s*:\s*['\"]([^'\"]+)['\"]", 1)
+    many = F.regexp_extract_all(F.regexp_extract(meta, r"middleware\s*:\s*\[([^\]]*)\]", 1), F.lit(r"['\"]([^'\"]+)['\"]"), 1)
+    single = F.regexp_extract(meta, r"middleware\s*:\s*['\"]([^'\"]+)['\"]", 1)
+    middleware = F.when(F.size(many) > 0, many).when(single != "", F.array(single)).otherwise(F.array().cast("array<string>"))
+    return files.select("file", F.when(layout != "", layout).alias("layout"), middleware.alias("middleware")).filter("layout is not null or size(middleware) > 0")
+
+
+def used_by(definitions: DataFrame, uses: DataFrame) -> DataFrame:
+    """(name, file, used_by): layouts or components with the files that use them. `definitions`: name, file. `uses`: file, name."""
+    lists = uses.groupBy("name").agg(F.array_sort(F.collect_set("file")).alias("used_by"))
+    return definitions.join(lists, "name", "left").withColumn("used_by", F.coalesce("used_by", F.array().cast("array<string>")))
+
+
+def component_uses(callables: DataFrame) -> DataFrame:
+    """(file, name): calls that look like components of a template."""
+    return callables.select("file", F.explode("calls").alias("name")).filter(F.col("name").rlike("^[A-Z][a-zA-Z]+$")).distinct()
+
+
+def pinia_stores(callables: DataFrame, imports: DataFrame) -> DataFrame:
+    """(file, stores): files that import the store library and define stores, with the exported names."""
+    importing = imports.filter(F.col("specifier").isin("pinia", "#imports")).select("file").distinct()
+    defining = callables.groupBy("file").agg(F.bool_or(F.array_contains("calls", "defineStore")).alias("defines"), F.array_sort(F.collect_set(F.when(F.col("exported"), F.col("name")))).alias("stores"))
+    return defining.filter("defines").join(importing, "file", "left_semi").select("file", "stores")
+
+
+#: Compiler macros of single-file components and plain calls that stand for them (fixed patterns, in order).
+VUE_MACROS = [
+    (r"withDefaults\(\s*defineProps<[^>]*>\(\)\s*,", "__withDefaults("), (r"defineProps<[^>]*>\(\)", "__defineProps()"), (r"defineProps\(", "__defineProps("), (r"defineEmits<[^>]*>\(\)", "__defineEmits()"),
+    (r"defineEmits\(", "__defineEmits("), (r"defineModel(?:<[^>]*>)?\(", "__defineModel("), (r"defineExpose\(", "__defineExpose("), (r"defineSlots(?:<[^>]*>)?\(", "__defineSlots("), (r"defineOptions\(", "__defineOptions("),
+]
+
+
+def plain_vue(content: Column) -> Column:
+    """A component's script with compiler macros as plain calls."""
+    for pattern, put in VUE_MACROS:
+        content = F.regexp_replace(content, pattern, put)
+    return content

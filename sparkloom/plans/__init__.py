@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import code_queries, framework_queries, graph_queries, usage_queries
+from sparkloom.plans import code_queries, framework_queries, graph_queries, render_queries, usage_queries
 from sparkloom.plans.registry import ORACLES, QUERIES, Query
 
 
