@@ -118,3 +118,39 @@ class Snapshot:
     def diff(self, older: Snapshot) -> DataFrame:
         hashed = lambda s: s["files"].select("path", F.col("content_hash").alias("hash"))
         return search.snapshot_diff(hashed(older), hashed(self))
+
+
+class Registry:
+    """Snapshots of several projects by name; each is read once and again only when its folder is written anew."""
+
+    def __init__(self, spark: SparkSession, projects: dict[str, str]):
+        self.spark, self.projects, self.kept = spark, dict(projects), {}
+
+    def resolve(self, name: str | None = None) -> str:
+        """The name of the project that is meant: the only one, one of that name, or one whose path ends with it."""
+        if name is None:
+            if len(self.projects) == 1:
+                return next(iter(self.projects))
+            raise ValueError(f"name one of {', '.join(sorted(self.projects)) or 'no projects'}")
+        hits = [p for p in self.projects if p == name] or [p for p, path in self.projects.items() if path.rstrip("/").endswith(f"/{name}")]
+        if len(hits) != 1:
+            raise ValueError(f"{'no' if not hits else 'more than one'} project is called {name}")
+        return hits[0]
+
+    def snapshot(self, name: str | None = None) -> Snapshot:
+        """The snapshot, read again if its files have changed."""
+        name = self.resolve(name)
+        path = self.projects[name]
+        version = tuple(sorted(self.spark.read.parquet(f"{path}/files").inputFiles()))
+        if self.kept.get(name, (None,))[0] != version:
+            self.kept[name] = version, Snapshot.read(self.spark, path)
+        return self.kept[name][1]
+
+    def status(self) -> DataFrame:
+        """(project, files, callables, classes) for each project."""
+        out = None
+        for name in sorted(self.projects):
+            s = self.snapshot(name)
+            row = s["files"].agg(F.count("*").alias("files")).join(s["callables"].agg(F.count("*").alias("callables"))).join(s["classes"].agg(F.count("*").alias("classes"))).select(F.lit(name).alias("project"), "*")
+            out = row if out is None else out.unionByName(row)
+        return out if out is not None else self.spark.createDataFrame([], "project string, files long, callables long, classes long")

@@ -1,9 +1,11 @@
 """The rest of the framework operators, rendering and the command line."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import cli
 from sparkloom.operators import frameworks, render
+from sparkloom.snapshot import Registry, Snapshot
 
 PARAM = "array<struct<name:string,type:string,optional:boolean,default:string>>"
 CALLABLE = f"file string, name string, class_name string, qualified_name string, decorators array<string>, calls array<string>, params {PARAM}, exported boolean, return_type string, complexity int, line_count int"
@@ -87,3 +89,15 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["health", f"{tmp_path}/s", "--threshold", "1"]) == 0 and cli.main(["health", f"{tmp_path}/s", "--threshold", "101"]) == 1
     assert cli.main(["diff", f"{tmp_path}/s", f"{tmp_path}/s"]) == 0 and cli.main(["analyze", f"{tmp_path}/s", "dead-code", "--json"]) == 0
     assert "start" in capsys.readouterr().out
+
+
+def test_registry(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.py").write_text("def start():\n    return 1\n")
+    Snapshot.build(spark, f"{tmp_path}/t").write(f"{tmp_path}/one")
+    r = Registry(spark, {"x": f"{tmp_path}/one"})
+    assert r.resolve() == "x" and r.resolve("one") == "x" and r.snapshot() is r.snapshot("x")
+    assert [tuple(row) for row in r.status().collect()] == [("x", 1, 1, 0)]
+    for wanted in ("y", None):
+        with pytest.raises(ValueError):
+            Registry(spark, {"x": "/p/one", "z": "/q/two"}).resolve(wanted)
