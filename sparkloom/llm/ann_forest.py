@@ -8,7 +8,8 @@ trees by one bit at a time, together, until the candidates they hold reach the b
 for each query from a bounded sample of strings (`SAMPLE` rows, the first by a hash of their ids).
 
 The budget is set on the data: for `PROBES` queries of the sample the true neighbours are found by one pass
-over all rows, and the smallest budget is taken whose candidates hold `target` of them.
+over all rows, and the smallest budget is taken whose candidates hold `target` of them (2k rows a tree at
+least).
 
 Spark's part: a tree is dealt into cells of about `CELL` vectors by the first p bits. A query goes to the
 cell of its prefix, or to all cells below it if its depth is less than p. Cells with more than `LIMIT`
@@ -144,7 +145,8 @@ def fit(packed: DataFrame, width: int, k: int, target: float) -> Forest:
         held = forest.held(strings)
         for budget in sorted({*held.ravel().tolist()}):
             if (shared >= forest.depths(strings, budget, held)[at]).mean() >= target:
-                forest.budget = budget
+                # Never fewer than 2k rows a tree, so that a handful of rows are all candidates.
+                forest.budget = max(budget, 2 * k * TREES)
                 break
     return forest
 
