@@ -38,11 +38,13 @@ def tool_totals() -> list[Column]:
 
 def by_tool(events: DataFrame) -> DataFrame:
     """Totals for each tool. The average size divides by the calls made up to the last one with a size, as a
-    running average does that later calls without a size leave alone."""
-    order = Window.partitionBy("tool").orderBy("started_at", "seq")
-    last = events.withColumn("n", F.row_number().over(order)).filter("response_bytes > 0").groupBy("tool").agg(F.max("n").alias("divisor"))
-    totals = events.groupBy("tool").agg(*tool_totals()).join(last, "tool", "left")
-    return totals.withColumn("avg_bytes", F.coalesce(half_up(F.col("total_bytes") / F.col("divisor")).cast("long"), F.lit(0))).drop("divisor")
+    running average does that later calls without a size leave alone.
+
+    Two partial aggregations and a join with one row a tool (broadcast if Spark finds it small), no sort by time."""
+    at = F.struct("started_at", "seq")
+    last = events.filter("response_bytes > 0").groupBy("tool").agg(F.max(at).alias("last"))
+    totals = events.join(last, "tool", "left").groupBy("tool").agg(*tool_totals(), F.count_if(at <= F.col("last")).alias("divisor"))
+    return totals.withColumn("avg_bytes", F.when(F.col("divisor") > 0, half_up(F.col("total_bytes") / F.col("divisor")).cast("long")).otherwise(0)).drop("divisor")
 
 
 def parameter_values(events: DataFrame, top: int = 5) -> DataFrame:
