@@ -30,9 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch, where the session has Spark's own default: texts are long, and a batch is held several
+#: times over by the JVM and by Python.
+BATCH_KEY, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
+
 def shipped(df: DataFrame) -> DataFrame:
     """`df`, after sending this package to the executors (once for each context): Python tasks need no installation."""
-    context = df.sparkSession.sparkContext
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
     if not getattr(context, "_sparkloom_shipped", False):
         package = Path(__file__).resolve().parent
         folder = tempfile.mkdtemp(prefix="sparkloom-code-")  # on the driver, whose file server hands it out
