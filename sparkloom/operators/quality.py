@@ -97,14 +97,17 @@ def _pair(side: str):
 def same_name_groups(callables: DataFrame) -> DataFrame:
     """(base, members, files, max_similarity, same_signature): names defined in several files with alike calls or equal signatures.
 
-    Pairs meet inside a name only. The members of a name are first reduced to distinct call sets, so a name that
-    a framework repeats thousands of times with the same body costs one pair."""
+    Pairs meet inside a name on a call that they share, and the intersection is counted, as others have similarity
+    0. The members of a name are first reduced to distinct call sets, so a name that a framework repeats
+    thousands of times with the same body costs nothing more."""
     rows = callables.select(last_part(F.col("qualified_name")).alias("base"), "file", "param_signature", F.array_sort(F.array_distinct("calls")).alias("calls"))
     groups = rows.groupBy("base").agg(F.count("*").alias("members"), F.count_distinct("file").alias("files")).filter("members > 1 and files > 1")
     signed = rows.filter("param_signature <> ''").groupBy("base", "param_signature").agg(F.count("*").alias("n")).filter("n > 1").select("base").distinct().withColumn("same_signature", F.lit(True))
     bodies = rows.join(groups.select("base"), "base", "left_semi").groupBy("base", "calls").agg(F.count("*").alias("n"))
-    keyed = bodies.withColumn("key", F.xxhash64("calls"))
-    pairs = keyed.alias("a").join(keyed.alias("b"), (F.col("a.base") == F.col("b.base")) & (F.col("a.key") < F.col("b.key"))).select(F.col("a.base").alias("base"), jaccard(F.col("a.calls"), F.col("b.calls")).alias("s"))
+    keyed = bodies.select("base", F.xxhash64("calls").alias("key"), F.size("calls").alias("size"), F.explode("calls").alias("call"))
+    met = keyed.alias("a").join(keyed.alias("b"), (F.col("a.base") == F.col("b.base")) & (F.col("a.call") == F.col("b.call")) & (F.col("a.key") < F.col("b.key")))
+    shared = met.groupBy(F.col("a.base").alias("base"), F.col("a.key").alias("x"), F.col("b.key").alias("y"), F.col("a.size").alias("m"), F.col("b.size").alias("n")).agg(F.count("*").alias("both"))
+    pairs = shared.select("base", (F.col("both") / (F.col("m") + F.col("n") - F.col("both"))).alias("s"))
     best = pairs.unionByName(bodies.filter("n > 1").select("base", F.lit(1.0).alias("s"))).groupBy("base").agg(F.max("s").alias("max_similarity"))
     out = groups.join(best, "base", "left").join(signed, "base", "left").na.fill(0.0, ["max_similarity"]).na.fill(False, ["same_signature"])
     return out.filter("max_similarity > 0.3 or same_signature")
