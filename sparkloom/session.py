@@ -58,9 +58,11 @@ def shared_folder(spark: SparkSession) -> str:
     Only a session that names none, as in tests, gets a temporary one of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", "") or ""
+    made = spark.sparkContext._jsc.sc().getCheckpointDir()
     if folder:
+        if made.isEmpty():
+            spark.sparkContext.setCheckpointDir(folder)
         return folder.rstrip("/")
-    made = spark.sparkContext._jsc.sc().getCheckpointDir()
     if made.isDefined():
         return made.get().rstrip("/")
     folder = tempfile.mkdtemp(prefix="sparkloom-checkpoint-")
