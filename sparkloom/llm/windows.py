@@ -8,8 +8,8 @@ local, though, so such texts share many windows whole. Windows end where a word'
 Each text keeps its rarest windows: of n windows the n - floor(0.3 n) that stand in the fewest texts. Texts
 that share over 30 % of their windows share one of these, and passages that many texts quote rank last. The
 texts of a window and of a class of lengths (each text is in two, so that lengths within the similarity meet)
-meet by the smallest and the largest text: an aggregation and a join that splits when skewed, so a window of
-any size makes four candidates at most for each text and never its pairs. Candidates whose lengths alone rule
+meet by its smallest, its largest and the first text in each of four orders by a hash: an aggregation and a join
+that splits when skewed, so a window of any size makes twelve candidates at most for each text, never its pairs. Candidates whose lengths alone rule
 the similarity out go at once; the others are verified on whole shingle sets. Two texts can miss each other
 where they are alike but the ends of all their windows are unlike; tests and the README give the recall.
 """
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from sparkloom.session import cut, shipped
 
 EVERY, LEAST, MOST = 12, 5, 48
+#: Texts of a window that all others of it are held against, besides its smallest and largest one.
+ORDERS = 4
 digest = xxhash.xxh64_intdigest
 
 
@@ -82,8 +84,10 @@ def similar_pairs(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Da
     kept = cut(ranked.select("node", "words", F.explode(first).alias("k")).select("node", "words", F.col("k.key").alias("key")))
     length = F.floor(F.log(F.greatest("words", F.lit(1)).cast("double")) / float(np.log(1 / similarity))).cast("int")
     kept = kept.withColumn("length", F.explode(F.array(length, length + 1)))
-    ends = kept.groupBy("key", "length").agg(F.min(F.struct("node", "words")).alias("low"), F.max(F.struct("node", "words")).alias("high"), F.count("*").alias("c")).filter("c > 1")
-    met = kept.join(ends, ["key", "length"]).select("node", "words", F.explode(F.array("low", "high")).alias("e"))
+    each_end = F.struct("node", "words")
+    orders = [F.min_by(each_end, F.xxhash64("node", F.lit(k))) for k in range(ORDERS)]
+    ends = kept.groupBy("key", "length").agg(F.array_distinct(F.array(F.min(each_end), F.max(each_end), *orders)).alias("ends"), F.count("*").alias("c")).filter("c > 1")
+    met = kept.join(ends, ["key", "length"]).select("node", "words", F.explode("ends").alias("e"))
     close = F.least("words", "e.words") >= F.greatest("words", "e.words") * similarity
     pairs = met.filter((F.col("e.node") != F.col("node")) & close).select(F.least("node", "e.node").alias("src"), F.greatest("node", "e.node").alias("dst")).distinct()
     pairs = cut(pairs)
