@@ -418,6 +418,40 @@ def test_lm_score_matches_plain(spark):
         assert r["score"] == pytest.approx(want[1] - want[0], abs=1e-5)
 
 
+def test_lm_score_keeps_every_word(spark):
+    # More words than the former vocabulary of 2,046; with few common words most pairs go by the joins.
+    rows = [(k, " ".join(f"w{(k * 37 + i * i) % 4000}" for i in range(150))) for k in range(60)] + [(60, None), (None, "w1 w2 never"), (None, "w1 w2 never")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 60, 3)], "doc_id long, quality int")
+
+    def model(some):
+        pairs = Counter(p for t in some for p in zip(["<s>", *t.split()], t.split(), strict=False))
+        single, context = Counter(), Counter()
+        for (v, w), n in pairs.items():
+            single[w] += n
+            context[v] += n
+        size, total = len({w for _, t in rows for w in (t or "").split()}) + 2, sum(pairs.values())
+
+        def loss(v, w):
+            low = (single[w] + 1) / (total + size)
+            return -np.log(0.7 * (pairs[v, w] / context[v] if context[v] else low) + 0.3 * low)
+
+        return loss
+
+    assert len({w for _, t in rows for w in (t or "").split()}) > 2046
+    background, target = model([t or "" for _, t in rows]), model([t for k, t in rows if k is not None and k % 3 == 0 and t])
+    want = []
+    for k, t in rows:
+        pairs = list(zip(["<s>", *(t or "").split()], (t or "").split(), strict=False))
+        want.append((k, len(pairs), *(sum(f(*p) for p in pairs) / max(1, len(pairs)) for f in (background, target))))
+    order = lambda r: (r[0] is None, r[0] or 0)
+    for found in (lm_score.query(docs, labels), lm_score.score(docs, lm_score.fit(docs, labels, common=300))):
+        got = sorted((tuple(r) for r in found.collect()), key=order)
+        assert len(got) == len(want)
+        for g, x in zip(got, sorted(want, key=order), strict=True):
+            assert g[:2] == x[:2] and g[2:4] == pytest.approx(x[2:], abs=1e-5) and g[4] == pytest.approx(x[3] - x[2], abs=1e-5)
+
+
 # --- the same hard cases for all -------------------------------------------------------------------------
 
 
