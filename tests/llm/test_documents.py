@@ -1,5 +1,6 @@
 """Operators on whole documents, each against a plain version on small tables."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from sparkloom.llm import byte_bpe, fingerprints, line_dedup, lm_score, packing, quality, simhash, toxicity, unigram
+from sparkloom.llm import byte_bpe, fingerprints, line_dedup, lm_score, packing, quality, simhash, toxicity, unigram, windows
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
@@ -378,6 +379,23 @@ def test_toxicity_edge_cases(spark, docs, no_docs):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_similar_short_texts_meet(spark):
+    r = random.Random(11)
+    rows, texts = [], {}
+    for k in range(240):
+        # Plain words, so that pairs are alone with each other.
+        words = [f"{k}x{r.randrange(10**6)}" for _ in range(r.randint(20, 60))]
+        extra = [f"{k}y{j}" for j in range(r.randint(1, 5))]
+        at = r.randrange(len(words))
+        other = [words + extra, extra + words, words[:at] + extra[:1] + words[at + 1 :]][k % 3]
+        texts[2 * k], texts[2 * k + 1] = words, other
+    rows = [(k, " ".join(w)) for k, w in texts.items()]
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in texts.items()}
+    want = {(k, k + 1) for k in range(0, 480, 2) if len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1])}
+    got = {tuple(x) for x in windows.similar_pairs(spark.createDataFrame(rows, "node long, text string")).collect()}
+    assert len(want) > 100 and got == want
+
+
 # --- lm scoring ------------------------------------------------------------------------------------------
 
 
