@@ -9,9 +9,9 @@ Each text keeps its rarest windows: of n windows the n - floor(0.3 n) that stand
 that share over 30 % of their windows share one of these, and passages that many texts quote rank last. A short
 text has few windows, so a text of at most `SHORT` shingles (which takes in all partners of texts under 100 words)
 is also known by its rarest shingles: of n the n - ceil(0.8 n) + 1 first, of which similar texts share one. The
-texts of a window or shingle and of a class of lengths (each text is in two, so that lengths within the similarity meet)
+texts of a window or shingle and of a class of sizes (distinct shingles; each text is in two, so that sizes within the similarity meet)
 meet by its smallest, its largest and the first text in each of four orders by a hash: an aggregation and a join
-that splits when skewed, so a window of any size makes twelve candidates at most for each text, never its pairs. Candidates whose lengths alone rule
+that splits when skewed, so a window of any size makes twelve candidates at most for each text, never its pairs. Candidates whose sizes alone rule
 the similarity out go at once; the others are verified on whole shingle sets. Two texts can miss each other
 where they are alike but the ends of all their windows are unlike; tests and the README give the recall.
 """
@@ -74,36 +74,35 @@ def similar_pairs(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Da
                 w = words_of(t.as_py())
                 keys = windows(w)
                 found = [(0, keys, len(keys) - len(keys) * 3 // 10)]
-                if len(w) < SHORT + size or len(set(w)) <= SHORT:
-                    keys = shingles(w, size)
-                    if 0 < len(keys) <= SHORT:
-                        found.append((1, keys.view(np.int64), len(keys) - ceil(similarity * len(keys) - 1e-9) + 1))
+                sh = shingles(w, size)
+                if 0 < len(sh) <= SHORT:
+                    found.append((1, sh.view(np.int64), len(sh) - ceil(similarity * len(sh) - 1e-9) + 1))
                 for which, keys, take in found:
                     rows.append(keys)
-                    counts.append(len(w))
+                    counts.append(len(sh))
                     at.append(i)
                     takes.append(take)
                     kinds.append(which)
             sizes = np.array([len(r) for r in rows], dtype=np.int64)
             at, counts, takes, kinds, n = (np.repeat(np.array(x, dtype=np.int64), sizes) for x in (at, counts, takes, kinds, sizes))
             keys = np.concatenate(rows) if rows else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *map(pa.array, (counts, n, takes, kinds, keys))], ["node", "words", "n", "take", "kind", "key"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *map(pa.array, (counts, n, takes, kinds, keys))], ["node", "size", "n", "take", "kind", "key"])
 
-    each = cut(docs.select("node", "text").transform(shipped).mapInArrow(split, f"node {kind}, words long, n long, take long, kind long, key long"))
+    each = cut(docs.select("node", "text").transform(shipped).mapInArrow(split, f"node {kind}, size long, n long, take long, kind long, key long"))
     shared = each.groupBy("kind", "key").agg(F.count("*").alias("df")).filter("df > 1")
     rows = each.join(shared, ["kind", "key"])
     # Windows of one text alone are the rarest; the shared ones follow by their number of texts.
-    ranked = rows.groupBy("node", "words", "n", "take", "kind").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("ks"))
+    ranked = rows.groupBy("node", "size", "n", "take", "kind").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("ks"))
     alone = F.col("n") - F.size("ks")
     first = F.slice("ks", 1, F.greatest(F.col("take") - alone, F.lit(1)).cast("int"))
-    kept = cut(ranked.select("node", "words", "kind", F.explode(first).alias("k")).select("node", "words", "kind", F.col("k.key").alias("key")))
-    length = F.floor(F.log(F.greatest("words", F.lit(1)).cast("double")) / float(np.log(1 / similarity))).cast("int")
-    kept = kept.withColumn("length", F.explode(F.array(length, length + 1)))
-    each_end = F.struct("node", "words")
+    kept = cut(ranked.select("node", "size", "kind", F.explode(first).alias("k")).select("node", "size", "kind", F.col("k.key").alias("key")))
+    sizes = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / float(np.log(1 / similarity))).cast("int")
+    kept = kept.withColumn("class", F.explode(F.array(sizes, sizes + 1)))
+    each_end = F.struct("node", "size")
     orders = [F.min_by(each_end, F.xxhash64("node", F.lit(k))) for k in range(ORDERS)]
-    ends = kept.groupBy("kind", "key", "length").agg(F.array_distinct(F.array(F.min(each_end), F.max(each_end), *orders)).alias("ends"), F.count("*").alias("c")).filter("c > 1")
-    met = kept.join(ends, ["kind", "key", "length"]).select("node", "words", F.explode("ends").alias("e"))
-    close = F.least("words", "e.words") >= F.greatest("words", "e.words") * similarity
+    ends = kept.groupBy("kind", "key", "class").agg(F.array_distinct(F.array(F.min(each_end), F.max(each_end), *orders)).alias("ends"), F.count("*").alias("c")).filter("c > 1")
+    met = kept.join(ends, ["kind", "key", "class"]).select("node", "size", F.explode("ends").alias("e"))
+    close = F.least("size", "e.size") >= F.greatest("size", "e.size") * similarity
     pairs = met.filter((F.col("e.node") != F.col("node")) & close).select(F.least("node", "e.node").alias("src"), F.greatest("node", "e.node").alias("dst")).distinct()
     pairs = cut(pairs)
     wanted = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()

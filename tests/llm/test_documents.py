@@ -396,6 +396,12 @@ def test_similar_short_texts_meet(spark):
     assert len(want) > 100 and got == want
 
 
+def test_similar_texts_of_unlike_lengths_meet(spark):
+    words = [f"u{k}" for k in range(150)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + words[:120]))]
+    assert [tuple(x) for x in windows.similar_pairs(spark.createDataFrame(rows, "node long, text string")).collect()] == [(1, 2)]
+
+
 # --- lm scoring ------------------------------------------------------------------------------------------
 
 
