@@ -1,10 +1,12 @@
 """Harmonic packing of token sequences into bins of a fixed capacity, independently in each partition.
 
-A document's ids and one closing id are cut first: whole capacities, which fill a sequence each; then, from
-what is left, halves, quarters, ... of the capacity down to `min_piece`; then one tail. A piece of length n
-belongs to the reciprocal class k = capacity // n, that is capacity/(k+1) < n <= capacity/k, and a sequence of
-class k holds exactly k pieces of its class. Powers of two fill their sequences exactly, tails of class k
-leave less than a k-th. With `min_piece` = capacity no remainder is cut: plain harmonic packing.
+A sequence of the reciprocal class k holds exactly k pieces of a k-th of the capacity each, so it is full after a
+fixed count, whatever arrives in between. A document's ids and one closing id are cut to these lengths: whole
+capacities first (class 1), then the largest k-th that fits into what is left, and so on, down to `min_piece`
+ids. (Where k does not divide the capacity, a class's pieces differ by one, so that k of them fill the sequence.)
+What is left under `min_piece` is not cut: a tail of n ids belongs to class k = capacity // n, that is
+capacity/(k+1) < n <= capacity/k, and k tails of its class share a sequence. With `min_piece` = capacity
+no remainder is cut: plain harmonic packing.
 
 A partition's open sequences at its end (at most one for each class) are joined and cut freely into whole
 capacities and then powers of two, so that they need no padding. No shuffle: each partition packs alone, and
@@ -13,7 +15,8 @@ the open sequences, whatever the partition's size, besides one document's ids.
 
 Defined results: a null text counts as empty and gives the closing id alone; repeated rows are packed one
 by one; null ids stay null; an empty table gives an empty table; extra columns are not looked at. Texts
-over a million characters are encoded in parts, cut where the vocabulary never joins.
+over a million characters are encoded in parts, cut where the vocabulary never joins; runs of whitespace of any
+length are merged apart.
 """
 
 from __future__ import annotations
@@ -34,16 +37,9 @@ from sparkloom.session import shipped
 COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-def cuts(total: int, capacity: int, min_piece: int) -> list[int]:
-    """Lengths of a document's pieces, in order."""
-    pieces = [capacity] * (total // capacity)
-    left, part = total % capacity, capacity // 2
-    while part >= min_piece and left >= min_piece:
-        if left >= part:
-            pieces.append(part)
-            left -= part
-        part //= 2
-    return pieces + [left] * (left > 0)
+def slot(capacity: int, k: int, j: int) -> int:
+    """The length of piece j (from 0) of a sequence of k pieces."""
+    return capacity * (j + 1) // k - capacity * j // k
 
 
 class Packer:
@@ -51,7 +47,8 @@ class Packer:
 
     def __init__(self, capacity: int, min_piece: int, first: int):
         self.capacity, self.min_piece, self.next = capacity, min_piece, first
-        self.open: dict[int, list] = defaultdict(list)
+        #: Open sequences by class: those of cut pieces (True) and of tails (False).
+        self.open: dict[tuple[bool, int], list] = defaultdict(list)
 
     def _close(self, pieces: list) -> Iterator[tuple]:
         offset = 0
@@ -60,17 +57,27 @@ class Packer:
             offset += len(part)
         self.next += 1
 
+    def _next(self, left: int) -> tuple[bool, int, int]:
+        """(cut, class, length) of the next piece of what is left of a document."""
+        if left < min(self.min_piece, self.capacity):
+            return False, self.capacity // left, left
+        k = -(-self.capacity // left)
+        while (n := slot(self.capacity, k, len(self.open[True, k]))) > left:
+            k += 1
+        return True, k, n
+
     def add(self, doc, ids: np.ndarray) -> Iterator[tuple]:
         at = 0
-        for n in cuts(len(ids), self.capacity, self.min_piece):
-            k = self.capacity // n
-            self.open[k].append((doc, at, ids[at : at + n].copy() if n < self.capacity else ids[at : at + n], len(ids)))
+        while at < len(ids):
+            cut, k, n = self._next(len(ids) - at)
+            # A copy, so that an open piece does not hold its whole document.
+            self.open[cut, k].append((doc, at, ids[at : at + n].copy() if k > 1 else ids[at : at + n], len(ids)))
             at += n
-            if len(self.open[k]) == k:
-                yield from self._close(self.open.pop(k))
+            if len(self.open[cut, k]) == k:
+                yield from self._close(self.open.pop((cut, k)))
 
     def finish(self) -> Iterator[tuple]:
-        """What is open, in one row, cut into whole capacities and then powers of two."""
+        """What is open (a sequence a class at most), in one row, cut into whole capacities and then powers of two."""
         row = [p for k in sorted(self.open) for p in self.open[k]]
         left = sum(len(p[2]) for p in row)
         row.reverse()
@@ -88,7 +95,7 @@ class Packer:
         self.open.clear()
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, min_piece: int = 64) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, min_piece: int = 46) -> DataFrame:
     """One row for each piece of each document of `docs` (doc_id, text); see the module's text."""
     path = tokenizer or byte_bpe.default_path()
     id_type = docs.schema["doc_id"].dataType.simpleString()

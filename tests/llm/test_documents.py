@@ -261,8 +261,39 @@ def test_packing_keeps_every_id_once(docs, capacity, least):
 
 
 def test_packing_classes():
-    assert packing.cuts(5000, 2048, 64) == [2048, 2048, 512, 256, 128, 8]
-    assert packing.cuts(700, 2048, 2048) == [700] and packing.cuts(0, 2048, 64) == []
+    """Every sequence of class k has k pieces of a k-th; tails go by their own class; with min_piece = capacity no remainder is cut."""
+    packer = packing.Packer(2048, 46, 0)
+    rows = [r for d in range(700) for r in packer.add(d, np.arange(d * 13 % 4000 + 1, dtype="<u4"))]
+    sizes = {}
+    for _, _, n, _, _, sequence, _ in rows:
+        sizes.setdefault(sequence, []).append(n)
+    for found in sizes.values():
+        k = len(found)
+        assert sum(found) == 2048 and max(found) - min(found) <= 1 or all(2048 // n == k for n in found)
+    assert {1, 2, 3, 5, 6, 7, 11} <= {len(x) for x in sizes.values()}
+    plain = packing.Packer(2048, 2048, 0)
+    assert list(plain.add(1, np.arange(700))) == [] and [r[2] for r in plain.add(2, np.arange(690))] == [700, 690]
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", " \t\n", "\u3000\u00a0 "])
+def test_byte_bpe_long_whitespace(blank):
+    from tokenizers import Tokenizer
+
+    coder, path = Tokenizer.from_file(byte_bpe.default_path()), byte_bpe.default_path()
+    for size, texts in ((1_000_000, ["{}", "a{}b"]), (2_000_000, ["{}word", "x <|endoftext|>{}<|endoftext|>y"]), (5_000_000, ["end.{}"] if blank in " \n" else [])):
+        run = blank * (size // len(blank))
+        for t in texts:
+            t = t.format(run)
+            assert byte_bpe.ids(path, t).tolist() == coder.encode(t, add_special_tokens=False).ids
+    for n in (byte_bpe.RUN - 1, byte_bpe.RUN, byte_bpe.RUN + 1):
+        for t in (f"a{blank * n}b c", f"{blank * n}'s{blank * n}1", f"!{blank * n}"):
+            assert byte_bpe.ids(path, t).tolist() == coder.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_long_whitespace(spark):
+    rows = [(1, "a" + " " * 1_200_000 + "b"), (2, "\n" * 1_000_000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1_200_002, 1_200_002), (2, 500_001, 500_001)]
 
 
 def test_byte_bpe_equals_the_library():
