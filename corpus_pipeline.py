@@ -2,8 +2,8 @@
 
 Decisions of the stages: quality rules remove failing lines and rejected documents; toxicity removes
 documents that score 0.5 or more; line dedup removes later copies of repeated runs and documents left without
-a line; near-dedup keeps one document of each group (five-word shingles, at most 3 of 64 bits apart); packing
-returns the pieces of all that stays.
+a line; near-dedup keeps one document of each group (five-word shingles: fingerprints at most 3 of 64 bits apart, or
+a similarity of 0.8 or more); packing returns the pieces of all that stays.
 """
 
 from __future__ import annotations

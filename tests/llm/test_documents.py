@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from sparkloom.llm import byte_bpe, fingerprints, line_dedup, lm_score, packing, quality, simhash, toxicity, unigram, windows
+from sparkloom.llm import byte_bpe, fingerprints, line_dedup, lm_score, packing, quality, similar, simhash, toxicity, unigram
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
@@ -192,14 +192,77 @@ def test_simhash_links_random_neighbours(spark):
         assert {k: find(k) for k in range(len(found))} == want
 
 
-def test_simhash_query_and_keep_first(docs):
+def kept_by_text(spark, texts, **how):
+    """Ids that keep_first keeps of {id: text}."""
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    return sorted(r["doc_id"] for r in simhash.keep_first(df, **how).collect())
+
+
+def test_simhash_query_and_keep_first(docs, texts):
+    from tests_llm_plain import plain_groups
+
     got = simhash.query(docs)
     assert all(re.fullmatch("[0-9a-f]{16}", r["fingerprint"]) for r in got.collect())
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
-    firsts = {r["component_id"] for r in simhash.components(docs, size=5, similarity=0.8).collect() if r["doc_id"] is not None}
-    ids = [r["doc_id"] for r in kept.collect() if r["doc_id"] is not None]
-    assert sorted(ids) == sorted(firsts)
+    groups = plain_groups(dict(enumerate(texts)))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(groups.values()))
+
+
+def test_keep_first_tells_texts_from_ids(spark, make_prose):
+    a, b, c = (make_prose(k, 80, 3000) for k in (1, 2, 3))
+    rows = [(2, a), (5, a), (5, b), (9, c), (9, c), (None, c), (None, a + " more"), (None, make_prose(4, 80, 3000))]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted([tuple(r) for r in got], key=str) == sorted([(2, a), (5, b), (9, c), rows[-1]], key=str)
+
+
+def test_simhash_links_over_rows_without_id(spark, monkeypatch):
+    """A fingerprint that only rows without an id hold bridges two others."""
+    prints = spark.createDataFrame([(5, 0), (None, 7), (3, 63), (None, -1)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "with_fingerprint", lambda *_: prints)
+    got = {tuple(r) for r in simhash.components(prints).collect()}
+    assert got == {(5, 0, 3), (None, 7, 3), (3, 63, 3), (None, -1, None)}
+
+
+@pytest.mark.parametrize(("changes", "block"), [(2, 128), (3, 128), (3, 16), (6, 128)])
+def test_similar_texts_of_one_template(spark, monkeypatch, changes, block):
+    """240 texts of one template: dense and sparse links alike equal those of all pairs."""
+    r = random.Random(changes)
+    monkeypatch.setattr(similar, "BLOCK", block)
+    base = [f"w{r.randrange(5000)}" for _ in range(160)]
+    texts = {}
+    for k in range(240):
+        words = list(base)
+        for at in r.sample(range(160), changes):
+            words[at] = f"e{k}x{at}"
+        texts[k] = " ".join(words)
+    sets = [{tuple(t.split(" ")[i : i + 5]) for i in range(156)} for t in texts.values()]
+    parent = list(range(240))
+    for i in range(240):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(parent[i], parent[j]), min(parent[i], parent[j])
+                parent = [new if p == old else p for p in parent]
+    got = similar.links(spark.createDataFrame(list(texts.items()), "node long, text string")).collect()
+    found = list(range(240))
+    for i, j in got:
+        assert len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+        old, new = max(found[i], found[j]), min(found[i], found[j])
+        found = [new if p == old else p for p in found]
+    assert found == parent
+
+
+def test_similar_sets_share_a_bucket():
+    """No pair of similar sets misses: sizes from 1 to 400, from equal to just similar enough."""
+    r = np.random.default_rng(3)
+    for size in [*range(1, 60), 100, 250, 400]:
+        for _ in range(6):
+            both = r.integers(0, 2**63, size, dtype=np.uint64)
+            room = int(size / 0.8 + 1e-9) - size
+            left = int(r.integers(0, room + 1))
+            a, z = (np.unique(np.append(both, r.integers(0, 2**63, n, dtype=np.uint64))) for n in (left, room - left))
+            assert len(np.intersect1d(a, z)) >= 0.8 * len(np.union1d(a, z))
+            assert set(similar.signatures(a, 0.8).tolist()) & set(similar.signatures(z, 0.8).tolist())
 
 
 def test_similar_texts_meet(spark, make_prose):
@@ -218,10 +281,15 @@ def test_similar_texts_meet(spark, make_prose):
     texts |= {500 + k: passage + " " + make_prose(2000 + k, 150, 3000) for k in range(40)}
     texts |= {600 + k: make_prose(3000 + k, 12) for k in range(20)} | {700: "", 701: None, 702: "one"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {x["doc_id"]: x["component_id"] for x in simhash.components(df, size=5, similarity=0.8).collect()}
-    want = plain_groups(texts)
-    assert len(set(want.values())) < 110 < len(texts)
-    assert got == want
+    groups = {}
+    for x in simhash.text_groups(df).collect():
+        groups.setdefault(x["part"], set()).add(x["doc_id"])
+    want = {}
+    for k, v in plain_groups(texts).items():
+        want.setdefault(v, set()).add(k)
+    assert len(want) < 110 < len(texts)
+    assert sorted(map(min, groups.values())) == sorted(want) and sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+    assert kept_by_text(spark, texts) == sorted(want)
 
 
 # --- packing ---------------------------------------------------------------------------------------------
@@ -423,14 +491,14 @@ def test_similar_short_texts_meet(spark):
     rows = [(k, " ".join(w)) for k, w in texts.items()]
     sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in texts.items()}
     want = {(k, k + 1) for k in range(0, 480, 2) if len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1])}
-    got = {tuple(x) for x in windows.similar_pairs(spark.createDataFrame(rows, "node long, text string")).collect()}
+    got = {tuple(x) for x in similar.links(spark.createDataFrame(rows, "node long, text string")).collect()}
     assert len(want) > 100 and got == want
 
 
 def test_similar_texts_of_unlike_lengths_meet(spark):
     words = [f"u{k}" for k in range(150)]
     rows = [(1, " ".join(words)), (2, " ".join(words + words[:120]))]
-    assert [tuple(x) for x in windows.similar_pairs(spark.createDataFrame(rows, "node long, text string")).collect()] == [(1, 2)]
+    assert [tuple(x) for x in similar.links(spark.createDataFrame(rows, "node long, text string")).collect()] == [(1, 2)]
 
 
 # --- lm scoring ------------------------------------------------------------------------------------------
