@@ -71,24 +71,44 @@ def test_quality_filter_on_verdict_plans_quickly(docs):
 
 
 def plain_dedup(rows, min_words=8):
-    """Every window of every length, shortest first place wins: (doc_id, text) -> cleaned text."""
+    """Every window of every length, line by line longer, the smallest place first: (doc_id, text) -> cleaned text."""
     lines = {}
     for doc, text in sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
-        lines[doc, text] = [(i, x) for i, x in enumerate(text.split("\n")) if words_of(x)]
-    longest = max((len(x) for x in lines.values()), default=0)
-    dead, width = {k: set() for k in lines}, 1
-    while width <= longest:
-        seen = set()
-        for key, row in lines.items():
-            for i in range(len(row) - width + 1):
-                window = tuple(x for _, x in row[i : i + width])
-                if window in seen and sum(len(words_of(x)) for x in window) >= min_words:
-                    dead[key].update(n for n, _ in row[i : i + width])
-                seen.add(window)
-        width *= 2
+        lines[doc, text] = [(i, x, len(words_of(x))) for i, x in enumerate(text.split("\n")) if words_of(x)]
+    dead, width = {k: set() for k in lines}, 0
+    classes = {(k, i): 0 for k, row in lines.items() for i in range(len(row))}  # of the windows that begin there
+    while classes:
+        width += 1
+        names, counts = {}, Counter()
+        longer = {}
+        for (k, i), c in classes.items():
+            if i + width <= len(lines[k]):
+                name = names.setdefault((c, lines[k][i + width - 1][1]), len(names))
+                counts[name] += 1
+                longer[k, i] = name
+                window = lines[k][i : i + width] if counts[name] > 1 else []
+                if sum(w for _, _, w in window) >= min_words:
+                    dead[k].update(n for n, _, _ in window)
+        classes = {x: c for x, c in longer.items() if counts[c] > 1}
     return {k: "\n".join(x for i, x in enumerate(k[1].split("\n")) if i not in dead[k]) for k in lines}
 
 
+def test_line_dedup_counts_words_by_run(spark):
+    """Three repeated lines of three words are nine words; runs that end in short lines; runs from two places."""
+    r = random.Random(5)
+    rows = [(1, "a b c\nd e f\ng h i\nnew"), (2, "other\na b c\nd e f\ng h i\nend"), (3, "a b c\nd e f"), (4, "d e f\ng h i\na b c")]
+    rows += [(5, "one two three four five six seven eight nine\nshort line"), (6, "x\none two three four five six seven eight nine\nshort line\ny")]
+    rows += [(10 + k, "\n".join(" ".join("uvw"[r.randrange(3)] for _ in range(r.randint(0, 4))) for _ in range(r.randint(1, 14)))) for k in range(60)]
+    want = plain_dedup(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x["doc_id"], x["text"]): x["clean_text"] for x in line_dedup.dedup(df).collect()}
+    assert got == want
+    assert got[rows[1]] == "other\nend" and got[rows[3]] == rows[3][1] and got[rows[5]] == "x\ny"
+    assert [x["clean_text"] for x in line_dedup.dedup(df.limit(0)).collect()] == []
+    got = {(x["doc_id"], x["text"]): x["clean_text"] for x in line_dedup.dedup(df, min_words=3).collect()}
+    assert got == plain_dedup(rows, 3)
+
+
 def test_line_dedup_matches_plain(docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     want = plain_dedup(rows)
