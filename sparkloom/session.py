@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -55,7 +56,7 @@ def shipped(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder in `spark.checkpoint.dir`, which driver and executors share.
 
-    Only a session that names none, as in tests, gets a temporary one of its own.
+    Only a local session that names none, as in tests, gets a temporary one of its own; a cluster without one is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", "") or ""
     made = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -65,12 +66,27 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if made.isDefined():
         return made.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     folder = tempfile.mkdtemp(prefix="sparkloom-checkpoint-")
     atexit.register(shutil.rmtree, folder, True)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet in the shared folder and read again: cuts lineage, compressed and by column.
+
+    The folder goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    df.write.parquet(path)
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
