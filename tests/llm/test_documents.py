@@ -524,75 +524,61 @@ def test_similar_texts_of_unlike_lengths_meet(spark):
 # --- lm scoring ------------------------------------------------------------------------------------------
 
 
-def test_lm_score_matches_plain(spark):
-    rows = [(1, "a b a c"), (2, "a b"), (3, None), (4, "z z A"), (4, "z z A")]
-    labels = spark.createDataFrame([(1, 1), (2, 0), (1, 0)], "doc_id long, quality int")
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    words = 2
-    counts = Counter(w for _, t in rows for w in (t or "").lower().split())
-    vocab = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:words]]
-    ids = {w: i + 2 for i, w in enumerate(vocab)}
-    size = words + 2
-
-    def tokens(t):
-        return [1, *(ids.get(w, 0) for w in (t or "").lower().split())]
+def plain_losses(rows, good, contexts):
+    """(doc, tokens, background, target) by the definition: counts without the document's own of the word and the pair."""
+    texts = [(k, ["<s>", *(t or "").lower().split()]) for k, t in rows]
 
     def model(some):
-        table = np.zeros((size, size))
-        for t in some:
-            for a, b in zip(tokens(t), tokens(t)[1:], strict=False):
-                table[a, b] += 1
-        single, total = table.sum(axis=0), table.sum()
-
-        def loss(a, b):
-            low = (single[b] + 1) / (total + size)
-            high = table[a, b] / table[a].sum() if table[a].sum() else low
-            return -np.log(0.7 * high + 0.3 * low)
-
-        return loss
-
-    background, target = model([t for _, t in rows]), model([rows[0][1]])
-    for r in lm_score.score(docs, lm_score.fit(docs, labels, words)).collect():
-        t = tokens(dict(rows)[r["doc_id"]])
-        pairs = list(zip(t, t[1:], strict=False))
-        want = [sum(f(a, b) for a, b in pairs) / max(1, len(pairs)) for f in (background, target)]
-        assert r["n_tokens"] == len(pairs)
-        assert [r["background_loss"], r["target_loss"]] == pytest.approx(want, abs=1e-5)
-        assert r["score"] == pytest.approx(want[1] - want[0], abs=1e-5)
-
-
-def test_lm_score_keeps_every_word(spark):
-    # More words than the former vocabulary of 2,046; with few common words most pairs go by the joins.
-    rows = [(k, " ".join(f"w{(k * 37 + i * i) % 4000}" for i in range(150))) for k in range(60)] + [(60, None), (None, "w1 w2 never"), (None, "w1 w2 never")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    labels = spark.createDataFrame([(k, 1) for k in range(0, 60, 3)], "doc_id long, quality int")
-
-    def model(some):
-        pairs = Counter(p for t in some for p in zip(["<s>", *t.split()], t.split(), strict=False))
+        pairs = Counter(p for _, t in some for p in zip(t, t[1:], strict=False))
         single, context = Counter(), Counter()
         for (v, w), n in pairs.items():
             single[w] += n
             context[v] += n
-        size, total = len({w for _, t in rows for w in (t or "").split()}) + 2, sum(pairs.values())
-
-        def loss(v, w):
-            low = (single[w] + 1) / (total + size)
-            return -np.log(0.7 * (pairs[v, w] / context[v] if context[v] else low) + 0.3 * low)
-
-        return loss
-
-    assert len({w for _, t in rows for w in (t or "").split()}) > 2046
-    background, target = model([t or "" for _, t in rows]), model([t for k, t in rows if k is not None and k % 3 == 0 and t])
-    want = []
-    for k, t in rows:
-        pairs = list(zip(["<s>", *(t or "").split()], (t or "").split(), strict=False))
-        want.append((k, len(pairs), *(sum(f(*p) for p in pairs) / max(1, len(pairs)) for f in (background, target))))
-    order = lambda r: (r[0] is None, r[0] or 0)
-    for found in (lm_score.query(docs, labels), lm_score.score(docs, lm_score.fit(docs, labels, common=300))):
-        got = sorted((tuple(r) for r in found.collect()), key=order)
-        assert len(got) == len(want)
-        for g, x in zip(got, sorted(want, key=order), strict=True):
-            assert g[:2] == x[:2] and g[2:4] == pytest.approx(x[2:], abs=1e-5) and g[4] == pytest.approx(x[3] - x[2], abs=1e-5)
+        return pairs, single, context, sum(pairs.values())
+
+    every, aimed = model(texts), model([x for x in texts if x[0] in good])
+    size, often = len(every[1]), {v for v, n in every[2].items() if v == "<s>" or n * contexts >= every[3]}
+    out = []
+    for k, t in texts:
+        mine = model([(k, t)])
+        sums = []
+        for (pairs, single, context, total), out_of in ((every, 1), (aimed, k in good)):
+            loss = 0.0
+            for v, w in zip(t, t[1:], strict=False):
+                less, twice = mine[1][w] * out_of, mine[0][v, w] * out_of
+                low = (single[w] - less + 1) / (total - less + size)
+                before = context[v] - twice
+                high = (pairs[v, w] - twice) / before if before > 0 else low
+                loss -= np.log(0.7 * high + 0.3 * low if v in often else low)
+            sums.append(loss / max(1, len(t) - 1))
+        out.append((k, len(t) - 1, *sums, sums[1] - sums[0]))
+    return out
+
+
+@pytest.mark.parametrize(("contexts", "part", "unit"), [(1 << 17, 2_000_000, 1_000_000), (300, 500, 700), (0, 100, 100)])
+def test_lm_score_matches_plain(spark, monkeypatch, contexts, part, unit):
+    monkeypatch.setattr(lm_score, "PART", part)
+    monkeypatch.setattr(lm_score, "UNIT", unit)
+    rows = [(k, " ".join(f"w{(k * 37 + i * i) % 4000}" for i in range(150))) for k in range(60)]
+    rows += [(60, None), (61, "a b a c"), (62, "z z A"), (62, "z z A"), (63, ""), (64, rows[5][1]), (None, "w1 w2 never"), (None, "w1 w2 never")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([*((k, 1) for k in range(0, 63, 3)), (1, 0), (3, 0), (None, 1), (7, None), (99, 1)], "doc_id long, quality int")
+    want = plain_losses(rows, {k for k in range(0, 63, 3)}, contexts)
+    order = lambda r: (r[0] is None, r[0] or 0, r[2])
+    got = sorted((tuple(r) for r in lm_score.score(lm_score.fit(docs, labels, contexts)).collect()), key=order)
+    assert len(got) == len(want)
+    for g, x in zip(got, sorted(want, key=order), strict=True):
+        assert g[:2] == x[:2] and g[2:] == pytest.approx(x[2:], abs=1e-4)
+    by = {g[0]: g for g in got}
+    assert by[64][2] < min(by[k][2] for k in (10, 11, 13)) - 0.2  # a text that stands twice
+
+
+def test_lm_score_long_text_and_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BROADCAST", 0)
+    rows = [(1, "long " * 200_000 + "x" * 1_000_000), (2, "short text"), (3, "short word")]
+    labels = spark.createDataFrame([(2, 1), (2, 1)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in lm_score.query(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert got[1]["n_tokens"] == 200_001 and got[3]["score"] < 0 < got[1]["background_loss"]
 
 
 # --- the same hard cases for all -------------------------------------------------------------------------
