@@ -149,7 +149,8 @@ def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         windows = _shortest(level, k)
         keys = ["size", "a", "z"]
         later = windows.join(_intervals(windows, keys), keys).filter(~F.struct(*PLACE).eqNullSafe(F.col("first")))
-        part = later.select("doc", "th", F.col("at").alias("start"), (F.col("at") + F.col("size") - 1).alias("stop"))
+        # A stage of its own for each join, so that hot windows are split by the engine's skew handling.
+        part = cut(later.select("doc", "th", F.col("at").alias("start"), (F.col("at") + F.col("size") - 1).alias("stop")))
         cover = part if cover is None else cover.unionByName(part)
     if cover is None:
         return docs.sparkSession.createDataFrame([], f"doc {docs.schema[doc_id].dataType.simpleString()}, th long, dead array<int>")
