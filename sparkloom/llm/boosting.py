@@ -42,8 +42,9 @@ class Boosted:
                 gl = np.cumsum(np.bincount(b, g[rows], self.bins))
                 hl = np.cumsum(np.bincount(b, h[rows], self.bins))
                 gain = gl**2 / (hl + self.penalty) + (gs - gl) ** 2 / (hs - hl + self.penalty) - gs**2 / (hs + self.penalty)
-                s = int(np.argmax(gain))
-                if gain[s] > best[0]:
+                # Of gains equal but for rounding the first one, so that the order of sums decides nothing.
+                s = int(np.argmax(gain > gain.max() - 1e-9))
+                if gain[s] > best[0] + 1e-9:
                     best = (float(gain[s]), j, s)
             if best[1] >= 0:
                 nodes[k] = best[1:] + (0.0,)

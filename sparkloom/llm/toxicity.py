@@ -121,8 +121,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000, max_lexicon:
     """Learn from documents that are not held out. `docs`: doc_id, text. `labels`: doc_id, toxic."""
     marked = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     marked = marked.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    # At most max_train rows of two numbers are broadcast.
+    # At most max_train rows of two numbers are broadcast. An id that stands on several rows is learned from one text.
     sample = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.max("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))
     sample = cut(sample.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(5))))
     known = sample.filter("half < 2")
     counts = known.select("text", "y").transform(shipped).mapInArrow(_key_counts, "key string, n long, k long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from sparkloom.llm import byte_bpe, fingerprints, line_dedup, lm_score, packing, quality, similar, simhash, toxicity, unigram
+from sparkloom.llm.boosting import Boosted, isotonic
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
@@ -498,6 +499,85 @@ def test_toxicity_edge_cases(spark, docs, no_docs):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_toxicity_learns_an_id_once(labelled):
+    """Rows that repeat a labelled id, and labels that contradict each other, change nothing but that id."""
+    docs, labels = labelled
+    again = docs.filter("doc_id = 1")
+    for _ in range(5):
+        again = again.union(again)
+    a = toxicity.fit(docs, labels)
+    b = toxicity.fit(docs.union(again).repartition(4), labels.union(labels.filter("doc_id = 5 and toxic = 1")))
+    assert a.lexicon == b.lexicon and a.trees.model == b.trees.model and all((x == y).all() for x, y in zip(a.knots, b.knots, strict=True))
+    c = toxicity.fit(docs, labels.union(labels.sparkSession.createDataFrame([(5, 0), (10, 0)], "doc_id long, toxic int")))
+    assert a.lexicon == c.lexicon
+
+
+def test_toxicity_features_match_plain():
+    lexicon = {"bad": 1.5, "worse": 2.5, "worst": 3.5, "hor-": 0.0, "horr-": 2.0}
+    make = toxicity.Featurizer(lexicon, cache=3)
+    for text in ("", "You are BAD!", "worst horrid horror b@d bad worse? you", "a " * 40 + "bad", "ÜBER bad-worse *** 12 x9y", "\n\t"):
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        value = lambda w: max([lexicon.get(w, 0.0), *(lexicon.get(w[:k] + "-", 0.0) for k in range(3, 8) if len(w) > k)])
+        scores = [value(w) for w in words]
+        hits = [(i, x) for i, x in enumerate(scores) if x > 1]
+        near = sum(any(abs(i - j) <= 5 and w in toxicity.SECOND for j, w in enumerate(words)) for i, _ in hits)
+        n, size = max(1, len(words)), max(1, len(text))
+        count = lambda least: sum(x > least for _, x in hits)
+        top = (sorted((x for _, x in hits), reverse=True) + [0.0] * 3)[:3]
+        want = [count(1) / n, count(2) / n, count(3) / n, count(1), count(2), count(3), *top, sum(x for _, x in hits) / n, near, near / n]
+        want += [sum("A" <= c <= "Z" for c in text) / size, text.count("!") / n, text.count("?") / n, sum(c in "#*$%&|<>@" for c in text) / n]
+        odd = re.findall(r"(?<=[^\W\d_])[0-9@$*_#!.\-]+(?=[^\W\d_])", text)
+        want += [len(odd) / n, np.log1p(len(words)), len(text) / n, sum(w in toxicity.SECOND for w in words) / n]
+        assert make.row(text) == pytest.approx(want), text
+
+
+def plain_tree(x, g, h, k, depth, rate, penalty, bins):
+    """Value of each row under the best splits, by trying every feature and bin."""
+    value = rate * g.sum() / (h.sum() + penalty)
+    best = (1e-6, None)
+    if depth and len(g) >= 10:
+        for j in range(x.shape[1]):
+            for s in range(bins):
+                left = x[:, j] <= s
+                gain = sum(g[m].sum() ** 2 / (h[m].sum() + penalty) for m in (left, ~left)) - g.sum() ** 2 / (h.sum() + penalty)
+                if gain > best[0] + 1e-9:
+                    best = (gain, left)
+    if best[1] is None:
+        return np.full(len(g), value)
+    out = np.empty(len(g))
+    for m in (best[1], ~best[1]):
+        out[m] = plain_tree(x[m], g[m], h[m], k, depth - 1, rate, penalty, bins)
+    return out
+
+
+def test_boosting_matches_plain():
+    r = np.random.default_rng(2)
+    x = np.round(r.standard_normal((200, 3)), 1)
+    y = (x[:, 0] + x[:, 1] * (x[:, 2] > 0) + r.standard_normal(200) / 3 > 0.2).astype(float)
+    trees = Boosted(trees=5, bins=8).fit(x, y)
+    binned = np.stack([(x[:, j, None] >= c[None, :]).sum(axis=1) for j, c in enumerate(trees.cuts)], axis=1)
+    raw = np.full(200, np.log(y.mean() / (1 - y.mean())))
+    for _ in range(5):
+        p = 1 / (1 + np.exp(-raw))
+        raw = raw + plain_tree(binned, y - p, p * (1 - p), 0, 3, 0.15, 1.0, 8)
+    assert trees.raw(x) == pytest.approx(raw)
+
+
+def test_isotonic_matches_plain():
+    r = np.random.default_rng(5)
+    for n in (1, 2, 7, 60):
+        raw, y = r.standard_normal(n), (r.random(n) < 0.4).astype(float)
+        y = y[np.argsort(np.argsort(raw))]
+        order = np.argsort(raw)
+        t = y[order]
+        fitted = [max(min(t[a : b + 1].mean() for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        edges = [0, *(i for i in range(1, n) if fitted[i] > fitted[i - 1] + 1e-12), n]
+        blocks = [slice(lo, hi) for lo, hi in zip(edges, edges[1:], strict=False)]
+        xs, ys = isotonic(raw, y)
+        assert xs == pytest.approx([raw[order][b].mean() for b in blocks])
+        assert ys == pytest.approx(np.maximum.accumulate([(t[b].sum() + 0.5) / (len(t[b]) + 1) for b in blocks]))
+
+
 def test_similar_short_texts_meet(spark):
     r = random.Random(11)
     rows, texts = [], {}
