@@ -12,8 +12,8 @@ A candidate pair is checked twice: first by one byte for each part (similar sets
 shingles, so this loses nothing either), then, if it passes, by the whole sets. Candidates are
 
 1. the pair, in buckets of two texts;
-2. in larger ones, for each text the smallest text that it shares a bucket with, and, as long as buckets hold
-   texts of different connected groups, their smallest text for all others;
+2. in larger ones, for each text the smallest text that it shares a bucket with, and, where buckets hold texts that
+   no link joins yet, their smallest text for all others;
 3. in buckets that still hold different groups, every pair across groups: a bucket is cut into blocks of a fixed
    number of texts and each two blocks meet in one place, so no task holds a bucket. Texts of one group are never
    compared again, so a group of thousands of near copies costs its links, not its pairs.
@@ -34,7 +34,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators.components import connected_components
 from sparkloom.session import cut, shipped
 
 #: Rows of 8 to 40 bytes that are broadcast at most; more are joined by a shuffle.
@@ -150,8 +149,8 @@ def links(body: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     for blocks in (False, True):
         if members.isEmpty():
             break
-        groups = cut(connected_components(found))
-        told = held_by(members, groups, ["node"], "left").select("sig", "node", "n", "lo", F.coalesce("component", "node").alias("grp"))
+        groups = _told_apart(found)
+        told = held_by(members, groups, ["node"], "left").select("sig", "node", "n", "lo", F.coalesce("grp", "node").alias("grp"))
         apart = told.groupBy("sig").agg(F.min("grp").alias("a"), F.max("grp").alias("z")).filter("a < z").select("sig")
         told = cut(held_by(told, cut(apart), ["sig"], "left_semi"))
         if told.isEmpty():
@@ -165,6 +164,16 @@ def links(body: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     return found
 
 
+def _told_apart(found: DataFrame) -> DataFrame:
+    """(node, grp): texts of one group are known to be connected; not all that are connected need be of one group.
+
+    The smallest neighbour's smallest neighbour: two small joins in place of all connected components."""
+    ends = found.union(found.select("dst", "src")).groupBy("src").agg(F.min("dst").alias("least"))
+    near = cut(ends.select(F.col("src").alias("node"), F.least("src", "least").alias("grp")))
+    far = near.select(F.col("node").alias("grp"), F.col("grp").alias("far"))
+    return cut(near.join(far, "grp").select("node", F.col("far").alias("grp")))
+
+
 def _facts(body: DataFrame, size: int, similarity: float) -> DataFrame:
     """(node, size, v0, v1, sh): size of the set, its bytes by part for its class and the next one, the set."""
 

@@ -11,7 +11,7 @@ double precision, as the Unigram model of `tokenizers` does, whose ids these are
 
 No piece holds a marker after another character, and none holds a line break, so the best path of a text is
 made of the best paths of its chunks between those places (checked against the vocabulary when it is
-loaded; without it a text is one chunk). Paths of chunks are remembered in two generations of bounded size.
+loaded; without it a text is one chunk). Paths of chunks of at most `LONGEST` characters are remembered in two generations of bounded size.
 
 * `TokenCounter`: an Aho-Corasick automaton lists all matches; the dynamic programme carries score and count.
 * `Codec`: a double-array trie over the pieces' bytes, back pointers, byte fallback, and decoding.
@@ -40,6 +40,8 @@ from sparkloom.session import shipped
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 GENERATION = 200_000
+#: Characters of a chunk that is remembered: longer ones (unspaced scripts, encoded data) hardly come again.
+LONGEST = 64
 
 
 def default_path() -> str:
@@ -124,9 +126,10 @@ class Remembered:
             x = self.old.get(key)
             if x is None:
                 x = self.make(key)
-            if len(self.young) >= self.size:
-                self.old, self.young = self.young, {}
-            self.young[key] = x
+            if len(key) <= LONGEST:
+                if len(self.young) >= self.size:
+                    self.old, self.young = self.young, {}
+                self.young[key] = x
         return x
 
 
