@@ -59,3 +59,10 @@ ENTRY_POINTS = [
 
 #: Endings tried for an import, in order (fixed values).
 IMPORT_ENDINGS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".py", "", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
+
+#: Built-in members whose calls say nothing about what a function is for (fixed values).
+NOISE_MEMBERS = (
+    "length", "size", "push", "pop", "shift", "unshift", "splice", "slice", "map", "filter", "reduce", "forEach",
+    "find", "some", "every", "includes", "indexOf", "join", "split", "trim", "replace", "match", "test", "exec",
+    "has", "get", "set", "add", "delete", "keys", "values", "entries", "toString", "charAt", "startsWith", "endsWith",
+)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparkloom.functions.constants import BUILTIN_CALLS, CATEGORY_OF_CALL, ENTRY_POINTS, LANGUAGES
+from sparkloom.functions.constants import BUILTIN_CALLS, CATEGORY_OF_CALL, ENTRY_POINTS, LANGUAGES, NOISE_MEMBERS
 
 
 def half_up(x: Column, places: int = 0) -> Column:
@@ -141,6 +141,32 @@ def filter_calls(calls: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(calls, normalize_call), lambda c: c.isNotNull()))
 
 
+def telling_calls(calls: Column) -> Column:
+    """The calls that are not a built-in member of a plain name."""
+    return F.filter(calls, lambda c: ~c.rlike(rf"^\w+\.(?:{'|'.join(NOISE_MEMBERS)})$"))
+
+
+def truncate_type(written: Column, limit: int = 120) -> Column:
+    """A written type of at most `limit` characters: a longer one loses its `Doc(...)` notes, then what annotates
+    it, then blanks, and is cut in the end."""
+    t = F.regexp_replace(written, r',?\s*Doc\(\s*"""[\s\S]*?"""\s*\)', "")
+    t = F.regexp_replace(t, r',?\s*Doc\(\s*"[^"]*"\s*\)', "")
+    t = F.regexp_replace(t, r"Annotated\[([^,\]]+),\s*[^\]]+\]", "$1")
+    t = F.trim(F.regexp_replace(t, r"\s+", " "))
+    short = F.when(F.length(t) > limit, F.concat(F.substring(t, 1, limit - 3), F.lit("..."))).otherwise(t)
+    return F.when(F.length(written) <= limit, written).otherwise(short)
+
+
+def json_bytes(value: Column) -> Column:
+    """The UTF-8 bytes of a struct, map or array as JSON; 0 where there is none."""
+    return F.coalesce(F.octet_length(F.to_json(value)), F.lit(0))
+
+
+def finite(value: Column) -> Column:
+    """Zero in place of an infinite number or none."""
+    return F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), 0.0).otherwise(value)
+
+
 def call_category(call: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in CATEGORY_OF_CALL.items() for x in pair])
     last = F.when(F.instr(call, ".") > 1, F.element_at(F.split(call, r"\."), -1))

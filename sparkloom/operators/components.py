@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from sparkloom.session import cut
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node of an edge; the component is its smallest node.
 
     Alternates the two star operations of Kiveris et al. (2014): every node hands its neighbours over to the
     smallest node it sees. Each round is two minimum aggregations (partially aggregated before the shuffle)
     and two joins that split when skewed, so a hub costs no task more than its share. The edges shrink
-    towards stars in a logarithmic number of rounds; each round cuts its lineage with a checkpoint.
+    towards stars in a logarithmic number of rounds; each round cuts its lineage with a checkpoint. The loop
+    ends only when a round changes nothing.
     """
     big, small = F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")
     # u > v throughout; a self-loop stays as (u, u) so that its node keeps a row.
@@ -22,7 +23,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     nodes = pairs.filter("u = v").select("u")
     pairs = pairs.filter("u > v")
     before = None
-    for _ in range(max_rounds):
+    while True:
         # Large star: each node links its larger neighbours to the smallest of itself and its neighbours.
         both = pairs.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(pairs.select(F.col("v").alias("a"), F.col("u").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

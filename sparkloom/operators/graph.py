@@ -124,7 +124,7 @@ def dependencies(edges: DataFrame, files: DataFrame) -> DataFrame:
     return both.select("file", F.coalesce("imports", none).alias("imports"), F.coalesce("imported_by", none).alias("imported_by"))
 
 
-def strongly_connected(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def strongly_connected(edges: DataFrame) -> DataFrame:
     """(node, component) of the strongly connected components with more than one node; named by their smallest.
 
     Trimming and colouring (Orzan 2004): nodes without edges in or out go, the smallest node that reaches each
@@ -133,7 +133,7 @@ def strongly_connected(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """
     edges = cut(edges.select(F.col("src").cast("string"), F.col("dst").cast("string")).filter("src <> dst").distinct())
     found = None
-    for _ in range(max_rounds):
+    while True:  # each round finds one component of each colour at least
         while True:  # trim
             before = edges.count()
             inner = edges.select(F.col("dst").alias("n")).intersect(edges.select(F.col("src").alias("n")))
@@ -190,6 +190,15 @@ def edge_symbols(edges: DataFrame, imports: DataFrame) -> DataFrame:
     return edges.join(hit, ["src", "dst"], "left").withColumn("symbols", F.coalesce("symbols", F.array().cast("array<string>")))
 
 
+def node_files(nodes: DataFrame, functions: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, file): a node's file as a function, else as a member of a class by what stands before its first dot."""
+    own = functions.groupBy(F.col("name").alias("node")).agg(F.min("file").alias("own"))
+    of = classes.groupBy(F.col("name").alias("prefix")).agg(F.min("file").alias("of"))
+    prefix = F.when(F.instr("node", ".") > 1, F.substring_index("node", ".", 1))
+    rows = nodes.select("node", prefix.alias("prefix")).join(own, "node", "left").join(of, "prefix", "left")
+    return rows.select("node", F.coalesce("own", "of").alias("file"))
+
+
 def hub_scores(edges: DataFrame, exported: DataFrame, methods: DataFrame) -> DataFrame:
     """(node, hub_score): 3 for each caller, 2 for each callee, 5 if exported, 2 if a public method, -10 if private by name.
 

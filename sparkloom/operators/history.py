@@ -20,9 +20,18 @@ def trend(history: DataFrame) -> DataFrame:
 
 def degrading_since(history: DataFrame) -> DataFrame:
     """If the trend degrades: the latest snapshot before the last that did not fall below the one before it."""
-    order = Window.orderBy("ts")
-    rows = history.select("ts", "score", F.lag("score").over(order).alias("before"), F.lead("ts").over(order).alias("next"))
-    rose = rows.filter("next is not null and (before is null or score >= before)").agg(F.max("ts").alias("since"))
+    rows = history.select("ts", "score")
+    many, order = 128, Window.orderBy("ts")
+    while True:
+        # Backwards from the end in growing steps: the window only ever sees the last `many` snapshots.
+        last = rows.orderBy(F.desc("ts")).limit(many + 1)
+        some = last.select("ts", F.col("score"), F.lag("score").over(order).alias("before"), F.lead("ts").over(order).alias("next"))
+        rose = some.filter("next is not null and score >= before").agg(F.max("ts").alias("since"), F.min("ts").alias("first"))
+        if rose.first()["since"] is not None or last.count() <= many:
+            break
+        many *= 8
+    first = rows.agg(F.min("ts").alias("first_ts"))
+    rose = rose.crossJoin(first).select(F.coalesce("since", "first_ts").alias("since"))
     return trend(history).filter("direction = 'degrading'").crossJoin(rose).select("ts", "since")
 
 

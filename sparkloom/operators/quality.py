@@ -117,14 +117,19 @@ def cross_name_pairs(callables: DataFrame, named: DataFrame | None = None, least
     """(name_a, file_a, name_b, file_b, similarity): callables of different names and files that are alike.
 
     Without equal parameter signatures and without a shared call (or none on either side) a pair reaches 0.55 at
-    most, so for any `least` above that candidates meet on a signature or on a call, never all with all. A ratio of lines over 2 is left out, and so
-    are pairs of names that a group of `named` (base) joins already."""
+    most, so for any `least` above that (less is an error) candidates meet on a signature or on a call, never all with
+    all. A ratio of lines over 2 is left out, so a key is split by powers of two of the lines: each callable stands in
+    its own class and in the next one. Pairs of names that a group of `named` (base) joins already are left out too."""
+    if least <= 0.55:
+        raise ValueError("least must be over 0.55: pairs that share nothing are not looked at")
     rows = callables.withColumn("calls", F.array_distinct("calls")).withColumn("categories", F.array_distinct(F.filter(F.transform("calls", call_category), lambda c: c.isNotNull()))).withColumn("base", last_part(F.col("qualified_name")))
     signature = F.concat(F.lit("s:"), F.col("param_count").cast("string"), F.lit(":"), F.col("param_signature"))
     keys = F.concat(F.array(signature), F.when(F.size("calls") == 0, F.array(F.lit("none"))).otherwise(F.transform("calls", lambda c: F.concat(F.lit("c:"), c))))
-    keyed = rows.select("seq", F.explode(F.array_distinct(keys)).alias("key"), "line_count")
+    size = F.floor(F.log2(F.greatest("line_count", F.lit(1)).cast("double")))
+    keyed = rows.select("seq", F.array_distinct(keys).alias("key"), "line_count", F.explode(F.array(size, size + 1)).alias("size"))
+    keyed = keyed.withColumn("key", F.explode("key"))
     close = (F.greatest("x.line_count", "y.line_count") <= 2 * F.greatest(F.least("x.line_count", "y.line_count"), F.lit(1)))
-    pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.seq") < F.col("y.seq")) & close).select(F.col("x.seq").alias("i"), F.col("y.seq").alias("j")).distinct()
+    pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.seq") < F.col("y.seq")) & close).select(F.col("x.seq").alias("i"), F.col("y.seq").alias("j")).distinct()
     both = pairs.join(rows.alias("a"), F.col("i") == F.col("a.seq")).join(rows.alias("b"), F.col("j") == F.col("b.seq")).filter((F.col("a.file") != F.col("b.file")) & (F.col("a.base") != F.col("b.base")))
     score = similarity(_pair("a"), _pair("b"))
     if named is not None:
@@ -132,3 +137,25 @@ def cross_name_pairs(callables: DataFrame, named: DataFrame | None = None, least
         both = both.filter(~(F.coalesce(F.col("n1") == F.col("n2"), F.lit(False))))
     out = both.withColumn("score", score).filter(F.col("score") >= least)
     return out.select(F.col("a.qualified_name").alias("name_a"), F.col("a.file").alias("file_a"), F.col("b.qualified_name").alias("name_b"), F.col("b.file").alias("file_b"), half_up(F.col("score"), 2).alias("similarity"))
+
+
+def all_duplicates(callables: DataFrame, least: float = 0.6, scope: str | None = None) -> DataFrame:
+    """(kind, name, other, similarity): groups of one name (other: null) and pairs of different names, most alike first.
+
+    `scope`: only callables of files whose path begins so."""
+    rows = callables.filter(F.col("file").startswith(scope)) if scope else callables
+    named = same_name_groups(rows)
+    groups = named.select(F.lit("same-name").alias("kind"), F.col("base").alias("name"), F.lit(None).cast("string").alias("other"), F.col("max_similarity").alias("similarity"))
+    pairs = cross_name_pairs(rows, named, least).select(F.lit("cross-name").alias("kind"), F.col("name_a").alias("name"), F.col("name_b").alias("other"), "similarity")
+    return groups.unionByName(pairs).orderBy(F.desc("similarity"), "kind", "name", "other")
+
+
+def copy_calls(members: DataFrame) -> DataFrame:
+    """(base, file, name, call, shared): each copy's calls, and whether every copy of its group has them.
+
+    `members`: base, file, name, calls. A row for each call: no group is gathered in one place."""
+    copies = members.groupBy("base").agg(F.count("*").alias("copies"))
+    each = members.select("base", "file", "name", F.explode(F.array_distinct("calls")).alias("call"))
+    held = each.groupBy("base", "call").agg(F.count("*").alias("n")).join(copies, "base")
+    held = held.select("base", "call", (F.col("n") == F.col("copies")).alias("shared"))
+    return each.join(held, ["base", "call"]).select("base", "file", "name", "call", "shared")

@@ -90,3 +90,36 @@ def stale(files: DataFrame, since, limit: int | None = None) -> DataFrame:
     """Files changed after a snapshot's time, in order. `files`: path, mtime."""
     out = files.filter(F.col("mtime") > F.lit(since)).orderBy("path")
     return out.limit(limit) if limit else out
+
+
+def filter_models(models: DataFrame, framework: str | None = None, kind: str | None = None, name: str | None = None) -> DataFrame:
+    """Models by framework, kind and part of the name in any case. `models`: name, framework, kind and more."""
+    out = models.filter(F.col("framework") == framework) if framework else models
+    out = out.filter(F.col("kind") == kind) if kind else out
+    return out.filter(F.contains(F.lower("name"), F.lit(name.lower()))) if name else out
+
+
+def filter_middleware(middleware: DataFrame, framework: str | None = None) -> DataFrame:
+    return middleware.filter(F.col("framework") == framework) if framework else middleware
+
+
+def clustered(results: DataFrame, edges: DataFrame) -> DataFrame:
+    """(rank, name, root, size): three results or fewer stand alone, more are grouped by who calls whom."""
+    from sparkloom.operators.graph import search_clusters
+
+    if results.limit(4).count() <= 3:
+        return results.select("rank", "name", F.col("name").alias("root"), F.lit(1).cast("long").alias("size"))
+    return search_clusters(results, edges)
+
+
+def dependencies_by_type(dependencies: DataFrame) -> DataFrame:
+    """(type, n, packages): packages of each type, `name@version` in order. `dependencies`: package, version, type."""
+    named = F.concat_ws("@", "package", "version")
+    return dependencies.groupBy("type").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(named)), ", ").alias("packages"))
+
+
+def modules_in_scope(coupling: DataFrame, scope: str | None = None, most: int = 10) -> DataFrame:
+    """The modules under a path, or the `most` unstable ones. `coupling`: module, instability and more."""
+    if scope:
+        return coupling.filter((F.col("module") == scope) | F.col("module").startswith(scope.rstrip("/") + "/"))
+    return coupling.orderBy(F.desc("instability"), "module").limit(most)

@@ -36,17 +36,26 @@ def with_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 CALLABLES = """f AS (
   SELECT p_partkey AS seq, p_brand AS file, p_name AS name, p_brand AS class_name, p_brand || '.' || p_name AS qualified_name, p_type || ':' || p_size AS signature, split_part(p_type, ' ', 1) AS return_type,
          p_retailprice > 950 AS exported, CAST(p_size AS BIGINT) AS complexity, CAST(p_size * 2 + 5 AS BIGINT) AS line_count, CAST(floor(p_size / 10) AS BIGINT) AS nesting FROM part)"""
-#: What calls what: big orders call the part by the qualified name.
-REVERSE = "rev AS (SELECT DISTINCT p_brand || '.' || p_name AS callee FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_extendedprice > 104000)"
+#: Calls: each supplier calls the part of its dearest sale, line number by line number.
+DEAREST = """dearest AS (SELECT l_partkey FROM lineitem
+  QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_extendedprice DESC, l_partkey DESC, l_orderkey DESC) = 1)"""
+REVERSE = f"{DEAREST}, rev AS (SELECT DISTINCT p_brand || '.' || p_name AS callee FROM part JOIN dearest ON l_partkey = p_partkey)"
 ENTRIES = "entry AS (SELECT DISTINCT p_brand AS file FROM part WHERE p_brand LIKE 'Brand#1%')"
 SHARED = "shared AS (SELECT DISTINCT p_name AS name FROM part WHERE p_size = 50)"
 DEAD = f"""{CALLABLES}, {REVERSE}, {ENTRIES}, {SHARED},
 dead AS (SELECT f.*, CASE WHEN exported THEN 'low' ELSE 'high' END AS confidence FROM f WHERE file NOT IN (SELECT file FROM entry) AND qualified_name NOT IN (SELECT callee FROM rev))"""
 
 
+def dearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p_partkey, caller): the calls behind the reverse edges."""
+    best = F.max(F.struct("l_extendedprice", "l_partkey", "l_orderkey")).alias("x")
+    sales = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(best)
+    return sales.select(F.col("x.l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("caller"))
+
+
 def dead(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    line = table(spark, sf_dir, "lineitem").filter("l_extendedprice > 104000").select(F.col("l_partkey").alias("p_partkey"), F.col("l_orderkey").alias("caller"))
+    line = dearest(spark, sf_dir)
     reverse = p.join(line, "p_partkey").select(F.concat("p_brand", F.lit("."), "p_name").alias("callee"), "caller")
     entries = p.filter("p_brand like 'Brand#1%'").select(F.col("p_brand").alias("file"))
     return quality.dead_functions(callables(spark, sf_dir), reverse, entries, p.filter("p_size = 50").select(F.col("p_name").alias("name")))
@@ -65,7 +74,7 @@ def dead_code_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CALLABLES}, {REVERSE} SELECT seq, qualified_name, line_count FROM f WHERE exported AND qualified_name NOT IN (SELECT callee FROM rev) ORDER BY line_count DESC, seq LIMIT 30")
 def dead_exported_top30(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").filter("l_extendedprice > 104000").select(F.col("l_partkey").alias("p_partkey"))
+    p, line = table(spark, sf_dir, "part"), dearest(spark, sf_dir)
     reverse = p.join(line, "p_partkey").select(F.concat("p_brand", F.lit("."), "p_name").alias("callee"))
     functions = callables(spark, sf_dir).withColumn("kind", F.lit("function"))
     return quality.dead_exported(functions, reverse).select("seq", "qualified_name", F.col("line_count").cast("long").alias("line_count"))
@@ -132,9 +141,9 @@ def dup_same_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     + ((least(a.complexity, b.complexity) + 1)::DOUBLE / (greatest(a.complexity, b.complexity) + 1) + (least(a.line_count, b.line_count) + 1)::DOUBLE / (greatest(a.line_count, b.line_count) + 1)
       + (least(a.nesting, b.nesting) + 1)::DOUBLE / (greatest(a.nesting, b.nesting) + 1)) / 3 * 0.15::DOUBLE + 0.5::DOUBLE * 0.15::DOUBLE AS s
   FROM full_ a JOIN full_ b ON a.seq < b.seq AND a.file <> b.file AND a.name <> b.name AND greatest(a.line_count, b.line_count) <= 2 * least(a.line_count, b.line_count))
-SELECT name_a, file_a, name_b, file_b, floor(s * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS similarity FROM pairs WHERE s >= 0.57""")
+SELECT name_a, file_a, name_b, file_b, floor(s * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS similarity FROM pairs WHERE s >= 0.6""")
 def dup_cross_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.cross_name_pairs(with_calls(spark, sf_dir), least=0.57)
+    return quality.cross_name_pairs(with_calls(spark, sf_dir), least=0.6)
 
 
 # --- entities by name ------------------------------------------------------------------------------------

@@ -115,18 +115,29 @@ def recommendations_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("""WITH c AS (SELECT * FROM (VALUES ('this.get', 'get'), ('get', NULL), ('a.b.map', NULL), ('a.map', 'a.map'), ('foo(1).bar', 'foo'), ('console.log', NULL), (' helper ', 'helper'), ('x', NULL), ('self.save', 'save'), ('len', NULL), ('JSON.parse', NULL)) v(call, want))
-SELECT p_partkey, call, want AS normal FROM part, c""")
+#: One call for each part, of six forms; the last but one is a builtin at the end of a chain.
+CALL_FORMS = """CASE p_size % 6 WHEN 0 THEN 'this.' || a WHEN 1 THEN a || '.' || b WHEN 2 THEN ' ' || b || ' '
+  WHEN 3 THEN a || '(1).' || b WHEN 4 THEN a || '.b.map' ELSE 'self.' || a || '.' || b END"""
+
+
+@query(f"""WITH w AS (SELECT p_partkey, p_size, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[-1] AS b FROM part)
+SELECT p_partkey, {CALL_FORMS} AS call,
+  CASE p_size % 6 WHEN 0 THEN a WHEN 1 THEN a || '.' || b WHEN 2 THEN b WHEN 3 THEN nullif(a, 'new') WHEN 5 THEN a || '.' || b END AS normal FROM w""")
 def call_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = ["this.get", "get", "a.b.map", "a.map", "foo(1).bar", "console.log", " helper ", "x", "self.save", "len", "JSON.parse"]
-    each = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(*map(F.lit, calls))).alias("call"))
+    words = F.split("p_name", " ")
+    each = table(spark, sf_dir, "part").select("p_partkey", "p_size", words[0].alias("a"), F.element_at(words, -1).alias("b"))
+    each = each.select("p_partkey", F.expr(CALL_FORMS).alias("call"))
     return each.select("p_partkey", "call", expr.normalize_call(F.col("call")).alias("normal"))
 
 
-@query("SELECT event_id, CASE WHEN value < 1 THEN CAST(CAST(floor(value * 1000) AS BIGINT) AS VARCHAR) || ' B' ELSE printf('%.1f', floor(floor(value * 1000) / 1024.0::DOUBLE * 10 + 0.5) / 10) || ' KB' END AS size FROM events WHERE value < 1000 AND NOT (value >= 1 AND floor(value * 1000) < 1024)")
+@query("""WITH n AS (SELECT event_id, CAST(floor(value * value * value * 100) AS BIGINT) AS n FROM events),
+k AS (SELECT *, CASE WHEN n < 1024 THEN 0 WHEN n < 1024 * 1024 THEN 1 WHEN n < 1024 * 1024 * 1024 THEN 2 ELSE 3 END AS k FROM n)
+SELECT event_id, CASE k WHEN 0 THEN CAST(n AS VARCHAR) || ' B'
+  ELSE printf('%.1f', floor(n / pow(1024.0::DOUBLE, k) * 10 + 0.5) / 10) || CASE k WHEN 1 THEN ' KB' WHEN 2 THEN ' MB' ELSE ' GB' END END AS size FROM k""")
 def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("value < 1000 and not (value >= 1 and floor(value * 1000) < 1024)")
-    return e.select("event_id", expr.human_bytes(F.floor(F.col("value") * 1000)).alias("size"))
+    """Every event's value as a number of bytes, from a few to gigabytes."""
+    size = F.floor(F.col("value") * F.col("value") * F.col("value") * 100)
+    return table(spark, sf_dir, "events").select("event_id", expr.human_bytes(size).alias("size"))
 
 
 @query("SELECT user_id, count(*) AS calls, count(*) FILTER (event_type = 'error') AS errors, event_type AS tool, strftime(date_trunc('day', ts) + INTERVAL 1 HOUR * CAST(floor(hour(ts) / 5) * 5 AS BIGINT), '%Y-%m-%d %H:%M:%S') AS bucket FROM events GROUP BY ALL")
