@@ -8,7 +8,7 @@ some part's content and none is missed (the partition scheme of exact set-simila
 Parts are counted for classes of sizes, each 1/s times the one before; a text is dealt for its own class and for the
 next one. A text with enough parts that hold something (nearly all) leaves its empty parts out, which loses nothing.
 
-A candidate pair is checked twice: first by one byte for each part (similar sets differ in no more parts than in
+A candidate pair is checked twice: first by eight parity bits for each part (sets differ in no more of them than in
 shingles, so this loses nothing either), then, if it passes, by the whole sets. Candidates are
 
 1. the pair, in buckets of two texts;
@@ -103,11 +103,11 @@ def signatures(h: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def vector(h: np.ndarray, level: int, similarity: float) -> bytes:
-    """A byte for each part, zero where there is nothing."""
-    at, sums, parts = _dealt(h, level, similarity)
-    out = np.zeros(parts, dtype=np.uint8)
-    out[at.astype(np.int64)] = (mixed(sums) >> np.uint64(56)).astype(np.uint8) | np.uint8(1)
-    return out.tobytes()
+    """Eight bits for each part, flipped by each hash that falls on them: sets that differ in d hashes differ in d bits
+    at most, and hardly fewer while the bits are many."""
+    bits = scheme(level, similarity)[1] * 8
+    at = ((h >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits).astype(np.uint8) & np.uint8(1)).tobytes()
 
 
 def most_apart(a, b, similarity: float):
@@ -175,7 +175,7 @@ def _told_apart(found: DataFrame) -> DataFrame:
 
 
 def _facts(body: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(node, size, v0, v1, sh): size of the set, its bytes by part for its class and the next one, the set."""
+    """(node, size, v0, v1, sh): size of the set, its bits for its class and the next one, the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,7 +197,7 @@ def _verified(pairs: DataFrame, facts: DataFrame, similarity: float) -> DataFram
                 at = level_of(m, similarity) - level_of(n, similarity)
                 if abs(at) <= 1:
                     p, q = (p0, q0) if at == 0 else (p1, q0) if at < 0 else (p0, q1)
-                    if np.count_nonzero(np.frombuffer(p, np.uint8) != np.frombuffer(q, np.uint8)) <= most_apart(m, n, similarity):
+                    if np.bitwise_count(np.frombuffer(p, np.uint8) ^ np.frombuffer(q, np.uint8)).sum(dtype=np.int64) <= most_apart(m, n, similarity):
                         good.append(i)
             at = pa.array(good, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["src", "dst"])
@@ -239,7 +239,7 @@ def _across(told: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
         v0, v1 = t["v0"].to_pylist(), t["v1"].to_pylist()
         two_blocks = t["i"][0].as_py() != t["j"][0].as_py()
         for top in np.unique(np.append(level, level + 1)).tolist():
-            # Pairs whose larger class is `top`; both ends have their bytes for it.
+            # Pairs whose larger class is `top`; both ends have their bits for it.
             at = np.flatnonzero((level == top) | (level == top - 1))
             if not (level[at] == top).any():
                 continue
@@ -250,7 +250,7 @@ def _across(told: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
                 if two_blocks:
                     y_ok &= mine[y] != mine[k]
                 if y_ok.any():
-                    apart = np.count_nonzero(table[x + 1 :][y_ok] != table[x], axis=1)
+                    apart = np.bitwise_count(table[x + 1 :][y_ok] ^ table[x]).sum(axis=1, dtype=np.int64)
                     y = y[y_ok][apart <= most_apart(size[y[y_ok]], size[k], similarity)]
                     if len(y):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[y], node[k])), pa.array(np.maximum(node[y], node[k]))], ["src", "dst"])
