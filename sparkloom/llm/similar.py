@@ -8,6 +8,11 @@ some part's content and none is missed (the partition scheme of exact set-simila
 Parts are counted for classes of sizes, each 1/s times the one before; a text is dealt for its own class and for the
 next one. A text with enough parts that hold something (nearly all) leaves its empty parts out, which loses nothing.
 
+Similar texts agree in more parts than one, if most hold something: a text with p such parts, of which d may differ, has
+p - d in common with each similar one. So it leaves out its p - d - 1 buckets of the most texts (ties by their
+signature): of the buckets that two similar texts share, neither leaves out the smallest (the prefix filter of set joins,
+on parts). Templates and common passages fill the largest buckets, so this saves most where buckets are hot.
+
 A candidate pair is checked twice: first by eight parity bits for each part (sets differ in no more of them than in
 shingles, so this loses nothing either), then, if it passes, by the whole sets. Candidates are
 
@@ -33,6 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkloom.session import cut, shipped
 
@@ -88,18 +94,20 @@ def _dealt(h: np.ndarray, level: int, similarity: float) -> tuple[np.ndarray, np
     return at[starts], np.add.reduceat(mixed(h), starts), parts
 
 
-def signatures(h: np.ndarray, similarity: float) -> np.ndarray:
-    """The buckets of a set, as signed longs."""
-    out = []
+def signatures(h: np.ndarray, similarity: float) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The buckets of a set, as signed longs, and for each class (level, buckets, buckets it can do without)."""
+    out, classes = [], []
     for level in range(own := level_of(len(h), similarity), own + 2):
         at, sums, parts = _dealt(h, level, similarity)
         largest = scheme(level, similarity)[0]
         kind = np.uint64((level + 1) * int(_EMPTY) % (1 << 64))
         out.append(mixed(sums ^ mixed(at * _STEP + kind)))
-        if len(at) <= floor((1 - similarity) / (1 + similarity) * (len(h) + min(largest, floor(len(h) / similarity) + 1)) + 1e-9):
+        differ = floor((1 - similarity) / (1 + similarity) * (len(h) + min(largest, floor(len(h) / similarity) + 1)) + 1e-9)
+        if len(at) <= differ:
             none = np.setdiff1d(np.arange(parts, dtype=np.uint64), at)
-            out.append(mixed(mixed(none * _STEP + kind) + _EMPTY))
-    return np.concatenate(out).view(np.int64)
+            out[-1] = np.append(out[-1], mixed(mixed(none * _STEP + kind) + _EMPTY))
+        classes.append((level, len(out[-1]), max(0, len(at) - differ - 1)))
+    return np.concatenate(out).view(np.int64), classes
 
 
 def vector(h: np.ndarray, level: int, similarity: float) -> bytes:
@@ -125,21 +133,29 @@ def links(body: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, found = b.column(0).to_numpy(), []
-            for t in b.column(1):
-                h = shingles(t.as_py(), size)
-                found.append(signatures(h, similarity) if len(h) else h.view(np.int64))
-            n = [len(x) for x in found]
-            for lo in range(0, len(n), 100):
-                part = slice(lo, lo + 100)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found[part])), pa.array(np.repeat(nodes[part], n[part]))], ["sig", "node"])
-
-    each = body.select("node", "text").transform(shipped).mapInArrow(deal, "sig long, node long")
+            for lo in range(0, b.num_rows, 100):
+                part = b.slice(lo, 100)
+                found, classes = [], []
+                for node, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    h = shingles(t.as_py(), size)
+                    if len(h):
+                        sigs, counted = signatures(h, similarity)
+                        found.append(sigs)
+                        classes += [(node, *c) for c in counted]
+                if found:
+                    node, level, n, spare = (np.array(c, dtype=np.int64) for c in zip(*classes, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), *(pa.array(np.repeat(c, n).astype(k)) for c, k in ((node, "i8"), (level, "i1"), (spare, "i4")))], ["sig", "node", "level", "spare"])
+
+    each = body.select("node", "text").transform(shipped).mapInArrow(deal, "sig long, node long, level byte, spare int")
     buckets = each.groupBy("sig").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
     buckets = cut(buckets)
-    large = buckets.filter("n > 2").select("sig", "n", "lo")
+    large = buckets.filter("n > 2").select("sig", "n")
     # Few buckets are shared: their members come from a second pass over the texts, not from a stored list of all parts.
-    members = cut(held_by(each, large, ["sig"]))
+    hottest = Window.partitionBy("node", "level").orderBy(F.desc("n"), "sig")
+    kept = held_by(each, large, ["sig"]).withColumn("rank", F.row_number().over(hottest))
+    kept = cut(kept.filter("rank > spare").select("sig", "node"))
+    again = cut(kept.groupBy("sig").agg(F.count("*").alias("n"), F.min("node").alias("lo")).filter("n > 1"))
+    members = cut(held_by(kept, again, ["sig"]))
     pairs = buckets.filter("n = 2").select(F.col("lo").alias("src"), F.col("hi").alias("dst")).distinct()
     first = members.groupBy("node").agg(F.min("lo").alias("lo")).filter("lo < node").select(F.col("lo").alias("src"), F.col("node").alias("dst"))
     pairs = cut(pairs.union(first).distinct())
