@@ -17,11 +17,13 @@ A candidate pair is checked twice: first by eight parity bits for each part (set
 shingles, so this loses nothing either), then, if it passes, by the whole sets. Candidates are
 
 1. the pair, in buckets of two texts;
-2. in larger ones, for each text the smallest text that it shares a bucket with, and, where buckets hold texts that
-   no link joins yet, their smallest text for all others;
-3. in buckets that still hold different groups, every pair across groups: a bucket is cut into blocks of a fixed
+2. in larger ones, for each text the smallest text that it shares a bucket with; then, in rounds, one member of every
+   bucket that still holds different groups, drawn by hash, for the bucket's texts of other groups. A round costs a
+   row for each member, and goes on while the last one joined at least one in `JOINED` of the groups;
+3. in buckets that hold different groups after that, every pair across groups: a bucket is cut into blocks of a fixed
    number of texts and each two blocks meet in one place, so no task holds a bucket. Texts of one group are never
-   compared again, so a group of thousands of near copies costs its links, not its pairs.
+   compared again, so a group of thousands of near copies costs its links, not its pairs; two texts that share several
+   such buckets come out of the first of them only.
 
 Memory: one text's hashes, and two blocks. Buckets are counted by partial aggregation; what is broadcast is counted
 first, and joined beyond `BROADCAST` rows.
@@ -40,12 +42,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.operators.components import connected_components
 from sparkloom.session import cut, shipped
 
 #: Rows of 8 to 40 bytes that are broadcast at most; more are joined by a shuffle.
 BROADCAST = 1 << 20
 #: Texts of a block, and the bytes that the checks of its texts may take.
 BLOCK, BLOCK_BYTES = 128, 1 << 22
+#: A round of drawn members is followed by another while it joins at least one in so many groups.
+JOINED = 32
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP, _EMPTY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -162,34 +167,28 @@ def links(body: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     wanted = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).union(members.select("node")).distinct()
     facts = _facts(held_by(body.select("node", "text"), cut(wanted), ["node"], "left_semi"), size, similarity)
     found = cut(_verified(pairs, facts, similarity))
-    for blocks in (False, True):
-        if members.isEmpty():
+    turn, before = 0, None
+    while not members.isEmpty():
+        groups = connected_components(found).select("node", F.col("component").alias("grp"))
+        told = held_by(members, cut(groups), ["node"], "left").select("sig", "node", "n", F.coalesce("grp", "node").alias("grp"))
+        drawn = F.min_by(F.struct("node", "grp"), F.xxhash64("node", F.lit(turn))).alias("hub")
+        apart = told.groupBy("sig").agg(F.min("grp").alias("a"), F.max("grp").alias("z"), drawn).filter("a < z").select("sig", "hub")
+        told = cut(held_by(told, cut(apart), ["sig"]))
+        still = told.select("grp").distinct().count()
+        if not still:
             break
-        groups = _told_apart(found)
-        told = held_by(members, groups, ["node"], "left").select("sig", "node", "n", "lo", F.coalesce("grp", "node").alias("grp"))
-        apart = told.groupBy("sig").agg(F.min("grp").alias("a"), F.max("grp").alias("z")).filter("a < z").select("sig")
-        told = cut(held_by(told, cut(apart), ["sig"], "left_semi"))
-        if told.isEmpty():
-            break
-        if blocks:
-            pairs = _across(told, facts, similarity)
+        last = before is not None and before - still < before / JOINED
+        if last:
+            pairs = _across(told.drop("hub"), facts, similarity)
         else:
-            heads = told.filter("node = lo").select("sig", F.col("grp").alias("head")).distinct()
-            pairs = told.filter("node > lo").join(heads, "sig").filter("grp <> head").select(F.col("lo").alias("src"), F.col("node").alias("dst"))
+            pairs = told.filter("grp <> hub.grp").select(F.least("node", "hub.node").alias("src"), F.greatest("node", "hub.node").alias("dst"))
         found = cut(found.union(_verified(cut(pairs.distinct()), facts, similarity)))
+        if last:
+            break
+        turn, before = turn + 1, still
     return found
 
 
-def _told_apart(found: DataFrame) -> DataFrame:
-    """(node, grp): texts of one group are known to be connected; not all that are connected need be of one group.
-
-    The smallest neighbour's smallest neighbour: two small joins in place of all connected components."""
-    ends = found.union(found.select("dst", "src")).groupBy("src").agg(F.min("dst").alias("least"))
-    near = cut(ends.select(F.col("src").alias("node"), F.least("src", "least").alias("grp")))
-    far = near.select(F.col("node").alias("grp"), F.col("grp").alias("far"))
-    return cut(near.join(far, "grp").select("node", F.col("far").alias("grp")))
-
-
 def _facts(body: DataFrame, size: int, similarity: float) -> DataFrame:
     """(node, size, v0, v1, sh): size of the set, its bits for its class and the next one, the set."""
 
@@ -238,21 +237,27 @@ def _verified(pairs: DataFrame, facts: DataFrame, similarity: float) -> DataFram
 
 
 def _across(told: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of different groups in a bucket that may be similar. `told`: sig, node, n, grp."""
-    room = F.greatest(F.lit(2), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / F.length("v1")))).cast("long")
-    rows = told.select("sig", "node", "n", "grp").join(facts.select("node", "size", "v0", "v1"), "node")
+    """Pairs of different groups in a bucket that may be similar, each once. `told`: sig, node, n, grp.
+
+    Every row brings the smaller ones of its text's buckets (no more than the text has parts): a pair that shares
+    one of those comes out there."""
+    shared = told.groupBy("node").agg(F.collect_list("sig").alias("sigs"))
+    rows = told.select("sig", "node", "n", "grp").join(facts.select("node", "size", "v0", "v1").join(shared, "node"), "node")
+    room = F.greatest(F.lit(2), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / (F.length("v1") + 8 * F.size("sigs"))))).cast("long")
     # All texts of a bucket need one number of blocks, so it follows from the largest of them.
     most = rows.groupBy("sig").agg(F.max(F.ceil(F.col("n") / room)).alias("blocks"))
+    rows = rows.withColumn("less", F.filter("sigs", lambda x: x < F.col("sig"))).drop("sigs")
     rows = rows.join(most, "sig").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     keys = ["sig", "i", "j"]
-    rows = rows.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "grp", "size", "v0", "v1")
+    rows = rows.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "grp", "size", "v0", "v1", "less")
     rows = rows.repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
         node, grp, size, mine = (t[c].to_numpy() for c in ("node", "grp", "size", "mine"))
         level = np.array([level_of(x, similarity) for x in size.tolist()])
         v0, v1 = t["v0"].to_pylist(), t["v1"].to_pylist()
+        less = [frozenset(x) for x in t["less"].to_pylist()]
         two_blocks = t["i"][0].as_py() != t["j"][0].as_py()
         for top in np.unique(np.append(level, level + 1)).tolist():
             # Pairs whose larger class is `top`; both ends have their bits for it.
@@ -268,6 +273,7 @@ def _across(told: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
                 if y_ok.any():
                     apart = np.bitwise_count(table[x + 1 :][y_ok] ^ table[x]).sum(axis=1, dtype=np.int64)
                     y = y[y_ok][apart <= most_apart(size[y[y_ok]], size[k], similarity)]
+                    y = np.array([j for j in y.tolist() if less[k].isdisjoint(less[j])], dtype=np.int64)
                     if len(y):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[y], node[k])), pa.array(np.maximum(node[y], node[k]))], ["src", "dst"])
 
