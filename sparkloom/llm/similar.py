@@ -250,12 +250,14 @@ def _across(told: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
     Every row brings the smaller ones of its text's buckets (no more than the text has parts): a pair that shares
     one of those comes out there."""
     shared = told.groupBy("node").agg(F.collect_list("sig").alias("sigs"))
-    rows = told.select("sig", "node", "n", "grp").join(facts.select("node", "size", "v0", "v1").join(shared, "node"), "node")
+    facts = cut(facts.select("node", "size", "v0", "v1").join(shared, "node"))
     room = F.greatest(F.lit(2), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / (F.length("v1") + 8 * F.size("sigs"))))).cast("long")
+    rows = told.select("sig", "node", "n", "grp").join(facts.select("node", room.alias("room")), "node")
     # All texts of a bucket need one number of blocks, so it follows from the largest of them.
-    most = rows.groupBy("sig").agg(F.max(F.ceil(F.col("n") / room)).alias("blocks"))
+    most = rows.groupBy("sig").agg(F.max(F.ceil(F.col("n") / F.col("room"))).alias("blocks"))
+    # Bits and lists join last, so that they are dealt once, to the blocks.
+    rows = rows.join(most, "sig").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(facts, "node")
     rows = rows.withColumn("less", F.filter("sigs", lambda x: x < F.col("sig"))).drop("sigs")
-    rows = rows.join(most, "sig").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     keys = ["sig", "i", "j"]
     rows = rows.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "grp", "size", "v0", "v1", "less")
