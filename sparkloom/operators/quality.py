@@ -13,6 +13,8 @@ from sparkloom.functions.constants import MAX_COMPLEXITY, MAX_LINES, MAX_METHODS
 from sparkloom.functions.expr import call_category, half_up, health_score, is_entry_point, jaccard, last_part, percent, similarity
 
 CONSTRUCTORS = ("constructor", "__init__")
+#: Bounds of scores are held against a limit less so much, as sums of doubles round.
+SLACK = 1e-6
 
 
 def dead_functions(callables: DataFrame, reverse: DataFrame, entry_files: DataFrame, exports: DataFrame) -> DataFrame:
@@ -113,23 +115,53 @@ def same_name_groups(callables: DataFrame) -> DataFrame:
     return out.filter("max_similarity > 0.3 or same_signature")
 
 
+def _marks(low: int) -> Column:
+    """64 of 128 bits: the hash of each call sets one."""
+    return F.expr(f"aggregate(calls, 0L, (a, c) -> a | if(pmod(xxhash64(c), 128) between {low} and {low + 63}, shiftleft(1L, cast(pmod(xxhash64(c), 64) as int)), 0L))")
+
+
+def alike_candidates(rows: DataFrame, least: float) -> DataFrame:
+    """(i, j): the pairs of `rows` (with categories, calls distinct) that may reach `least`, each once.
+
+    Without a shared call (and with calls on either side) a pair reaches 0.575, or 0.65 if it shares a call category, and
+    only with equal parameters. So pairs meet on a call, on having none, and on parameters (with a category, over 0.575) only
+    where `least` allows it. What meets is held against a bound before it leaves the join: each row carries 128 bits of
+    its calls, and a bit that one side lacks is a call that it lacks."""
+    signature = F.when(F.col("param_count") == 0, "s:0").otherwise(F.concat(F.lit("s:"), F.col("param_count").cast("string"), F.lit(":"), F.col("param_signature")))
+    keys = F.when(F.size("calls") == 0, F.array(F.lit("none"))).otherwise(F.transform("calls", lambda c: F.concat(F.lit("c:"), c)))
+    if least <= 0.575 + SLACK:
+        keys = F.concat(F.array(signature), keys)
+    elif least <= 0.65 + SLACK:
+        keys = F.concat(F.transform("categories", lambda c: F.concat(signature, F.lit(":"), c)), keys)
+    same = F.pmod(F.xxhash64(signature), F.lit(1 << 15)).cast("short")
+    keyed = rows.select("seq", "line_count", F.size("calls").alias("n"), _marks(0).alias("b0"), _marks(64).alias("b1"), F.when(signature.isNotNull(), same).alias("same"), (F.size("categories") > 0).alias("sorted"), F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k))).alias("keys"))
+    # A step of its own: beside the explode all columns would be computed again for each key.
+    keyed = keyed.select("seq", "line_count", "n", "b0", "b1", "same", "sorted", F.explode("keys").alias("key"))
+    x, y = _pair("x"), _pair("y")
+
+    def shared(a, b) -> Column:
+        return a("n") - sum(F.bit_count(a(k).bitwiseAND(F.bitwise_not(b(k)))) for k in ("b0", "b1"))
+
+    categories = F.when(x("sorted") & y("sorted"), 1.0).when(x("sorted") | y("sorted"), 0.0).otherwise(0.5)
+    params = F.when(x("same") == y("same"), 1.0).otherwise(0.6)
+    # The share of common calls that the pair needs; of two empty sets it is 1.
+    need = (least - SLACK - (params * 0.25 + categories * 0.15 + 0.10 + 0.15)) / 0.35
+    enough = F.least(shared(x, y), shared(y, x)) * (need + 1) >= need * (x("n") + y("n"))
+    close = F.greatest(x("line_count"), y("line_count")) <= 2 * F.greatest(F.least(x("line_count"), y("line_count")), F.lit(1))
+    met = keyed.alias("x").join(keyed.alias("y"), (x("key") == y("key")) & (x("seq") < y("seq")) & close & enough)
+    return met.select(x("seq").alias("i"), y("seq").alias("j")).distinct()
+
+
 def cross_name_pairs(callables: DataFrame, named: DataFrame | None = None, least: float = 0.6) -> DataFrame:
     """(name_a, file_a, name_b, file_b, similarity): callables of different names and files that are alike.
 
     Without equal parameter signatures and without a shared call (or none on either side) a pair reaches 0.55 at
-    most, so for any `least` above that (less is an error) candidates meet on a signature or on a call, never all with
-    all. A ratio of lines over 2 is left out, so a key is split by powers of two of the lines: each callable stands in
-    its own class and in the next one. Pairs of names that a group of `named` (base) joins already are left out too."""
+    most, so for any `least` above that (less is an error) candidates meet on what they share, never all with all.
+    A ratio of lines over 2 is left out. Pairs of names that a group of `named` (base) joins already are left out too."""
     if least <= 0.55:
         raise ValueError("least must be over 0.55: pairs that share nothing are not looked at")
     rows = callables.withColumn("calls", F.array_distinct("calls")).withColumn("categories", F.array_distinct(F.filter(F.transform("calls", call_category), lambda c: c.isNotNull()))).withColumn("base", last_part(F.col("qualified_name")))
-    signature = F.concat(F.lit("s:"), F.col("param_count").cast("string"), F.lit(":"), F.col("param_signature"))
-    keys = F.concat(F.array(signature), F.when(F.size("calls") == 0, F.array(F.lit("none"))).otherwise(F.transform("calls", lambda c: F.concat(F.lit("c:"), c))))
-    size = F.floor(F.log2(F.greatest("line_count", F.lit(1)).cast("double")))
-    keyed = rows.select("seq", F.array_distinct(keys).alias("key"), "line_count", F.explode(F.array(size, size + 1)).alias("size"))
-    keyed = keyed.withColumn("key", F.explode("key"))
-    close = (F.greatest("x.line_count", "y.line_count") <= 2 * F.greatest(F.least("x.line_count", "y.line_count"), F.lit(1)))
-    pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.seq") < F.col("y.seq")) & close).select(F.col("x.seq").alias("i"), F.col("y.seq").alias("j")).distinct()
+    pairs = alike_candidates(rows, least)
     both = pairs.join(rows.alias("a"), F.col("i") == F.col("a.seq")).join(rows.alias("b"), F.col("j") == F.col("b.seq")).filter((F.col("a.file") != F.col("b.file")) & (F.col("a.base") != F.col("b.base")))
     score = similarity(_pair("a"), _pair("b"))
     if named is not None:

@@ -28,8 +28,10 @@ def callables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("seq"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("C"), "o_custkey").alias("c"))
-    calls = line.join(orders, "l_orderkey").groupBy("seq").agg(F.collect_set("c").alias("calls"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    # Dealt before grouping, as numbers: sets of one call would only make the rows of the shuffle longer.
+    made = line.join(orders, "l_orderkey").select("seq", "o_custkey").repartition("seq").groupBy("seq").agg(F.collect_set("o_custkey").alias("made"))
+    calls = made.select("seq", F.transform("made", lambda c: F.concat(F.lit("C"), c.cast("string"))).alias("calls"))
     return callables(spark, sf_dir).join(calls, "seq", "left").withColumn("calls", F.coalesce("calls", F.array().cast("array<string>")))
 
 

@@ -183,6 +183,29 @@ def test_duplicates(spark):
     assert got == {("one", "two"): 0.93, ("four", "five"): 0.83}
 
 
+def test_cross_name_pairs_are_those_of_all_pairs(spark):
+    names = ["readFile", "writeFile", *(f"f{k}" for k in range(14))]
+    rows = [(f"{k % 5}.ts", f"n{k % 70}", ["", "a:A", "b:B"][k % 3], True, [names[(k * j + j * j) % 16] for j in range(k % 7)], 1 + k % 4, 3 + k % 9) for k in range(90)]
+    c = rows_of_callables(spark, rows).withColumn("return_type", F.element_at(F.array(F.lit("v"), F.lit("w"), F.lit("")), (F.col("seq") % 3 + 1).cast("int")))
+    c = c.withColumn("param_count", F.when(F.col("param_signature") == "", 0).otherwise(1)).cache()
+    full = c.withColumn("categories", F.array_distinct(F.filter(F.transform("calls", expr.call_category), lambda x: x.isNotNull())))
+    a, b = (lambda n: F.col(f"a.{n}")), (lambda n: F.col(f"b.{n}"))
+    every = full.alias("a").join(full.alias("b"), (a("seq") < b("seq")) & (a("file") != b("file")) & (a("name") != b("name")) & (F.greatest(a("line_count"), b("line_count")) <= 2 * F.least(a("line_count"), b("line_count"))))
+    scored = [(r["x"], r["y"], r["s"]) for r in every.select(a("seq").alias("x"), b("seq").alias("y"), expr.similarity(a, b).alias("s")).collect()]
+    name = {k: r[1] for k, r in enumerate(rows)}
+    for least in (0.56, 0.6, 0.7):
+        want = sorted((name[x], name[y]) for x, y, s in scored if s >= least)
+        got = sorted((r["name_a"], r["name_b"]) for r in quality.cross_name_pairs(c, least=least).collect())
+        assert len(want) > 20 and got == want, least
+
+
+def test_cross_name_candidates_need_more_than_parameters_or_one_call(spark):
+    """Equal parameters alone, or one call of many, can't reach 0.6: such pairs never leave the join."""
+    rows = [(f"{k}.ts", f"n{k}", "a:A" if k < 200 else f"p{k}", True, ["hot", *(f"c{k}x{j}" for j in range(24))][k < 200 :], 1, 5) for k in range(400)]
+    c = rows_of_callables(spark, rows).withColumn("categories", F.array().cast("array<string>"))
+    assert quality.alike_candidates(c, 0.6).count() < 400
+
+
 def test_synthetic_callers_and_frameworks(spark):
     c = spark.createDataFrame([("m.py", "__init__", "User.__init__", []), ("m.py", "save", "User.save", []), ("t/conftest.py", "db", "db", []), ("w.py", "job", "job", ["@shared_task(bind=True)"])], "file string, name string, qualified_name string, decorators array<string>")
     got = pairs(frameworks.synthetic_edges(c, ["celery", "pytest"], [("__me__", [], ["^save$"], [])]), "caller", "callee")
