@@ -3,21 +3,21 @@
 Two bigram models share one vocabulary, one order and one smoothing: the target model is counted over the
 documents labelled as good, the background model over all documents. A document's score is the mean over its
 tokens of the target model's loss less the background model's; lower is closer to the target.
-p(w | v) = a c(v w)/c(v) + (1-a) p(w) if v is a context, else p(w), with p(w) = (c(w)+1)/(N+V).
+p(w | v) = a c(v w)/c(v) + (1-a) p(w) if c(v) > 0 and v is a context, else p(w), with p(w) = (c(w)+1)/(N+V).
 
 A document is never scored by its own counts: what it adds to c(w), N, c(v w) and c(v) by w or by the pair itself is
 taken out again, in the background model and, for target documents, in the target model. So the two models
 are matched although one is counted on part of what it scores, and a text that stands twice in the corpus
 shows, as its copy is counted and it isn't.
 
-Every word is in the vocabulary, which grows with the corpus; words are known by 63-bit hashes. Contexts are the words
-that make up at least one in `CONTEXTS` tokens (and the start of a text): at most `CONTEXTS` words whatever the
-corpus, so their counts can be broadcast. After any rarer word the models back off to p(w).
+Every word is in the vocabulary and a context, whatever its count; words and pairs are known by hashes of 63 bits. A
+caller may name a share under which a word is no context: after such a word the models back off to p(w).
 
-A document's words are dealt by ranges of their hashes to parts, whose number grows with the tokens, packed for many
-documents at a time. A part sees every occurrence of its words, so it counts them, their pairs and their losses, and
-sends each document's sums back to its unit. No table is joined, and nothing that grows with the corpus is
-sent to the driver.
+Documents are dealt in units of a bounded number of tokens. A unit sends its distinct words and pairs, with its own
+counts of them, to parts: ranges of the hashes, whose number grows with the corpus. A part adds up what all units sent and
+answers each unit in the order in which it asked; then the unit, whose tokens came along, has all counts and scores its documents.
+A word or pair stands once in a unit, so however frequent it is, a part sees it no more often than there are units. Nothing
+that grows with the corpus is broadcast or sent to the driver.
 
 Defined results: null and empty texts have no tokens, losses and score 0; a document labelled more than once
 is a target if any label says so; without targets the target model is uniform; repeated rows count and
@@ -39,24 +39,23 @@ from pyspark.sql import functions as F
 from sparkloom.session import shipped, stored
 
 START = 1
-#: A word of one in so many tokens is a context. Weight of the pairs.
-CONTEXTS, WEIGHT = 1 << 17, 0.7
-#: Tokens of a part, tokens of a unit (documents that are dealt together), entries of a list of word counts.
-PART, UNIT, FLUSH = 2_000_000, 1_000_000, 3_000_000
+#: Weight of the pairs.
+WEIGHT = 0.7
+#: Tokens of a part (at `CHARS` characters), tokens of a unit (documents that are dealt together).
+PART, UNIT, CHARS = 2_000_000, 1_000_000, 6
 #: Labelled ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST = 1 << 21
-COUNTS = ["n", "ctx", "tn", "tctx"]
 
 
 class Hasher:
-    """Texts to hashes of START and their words."""
+    """Texts to hashes of their words."""
 
     def __init__(self):
         self.known: dict[str, int] = {}
 
     def tokens(self, text: str | None) -> list[int]:
-        known, out = self.known, [START]
-        if len(known) > 1_000_000:
+        known, out = self.known, []
+        if len(known) > 300_000:
             known.clear()
         for w in (text or "").lower().split():
             h = known.get(w)
@@ -67,16 +66,6 @@ class Hasher:
             out.append(h)
         return out
 
-    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(number of tokens by row, row, word before, word) with one entry for each token."""
-        rows = [self.tokens(t.as_py()) for t in texts]
-        sizes = np.array([len(r) for r in rows], dtype=np.int64)
-        flat = np.fromiter((h for r in rows for h in r), dtype=np.int64, count=int(sizes.sum()))
-        at = np.cumsum(sizes) - sizes
-        last, first = np.ones(len(flat), dtype=bool), np.ones(len(flat), dtype=bool)
-        first[at] = last[at + sizes - 1] = False
-        return sizes - 1, np.repeat(np.arange(len(rows)), sizes - 1), flat[last], flat[first]
-
 
 def _pack(x: np.ndarray) -> bytes:
     """Numbers as bytes: the first bytes of all, then the second ones and so on, so that small numbers take little."""
@@ -97,190 +86,179 @@ def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, n, ctx, tn, tctx): how often a word stands, and stands before a word, in all and in target documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = Hasher(), [], 0
+def _mixed(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """63-bit hashes of pairs of hashes (steps of splitmix64)."""
+    z = v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ w.astype(np.uint64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(1)).astype(np.int64)
 
-        def out() -> pa.RecordBatch:
-            h, inv = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-            cols = [np.bincount(inv, np.concatenate([x[k] for x in held]), len(h)).astype(np.int64) for k in range(1, 5)]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h), *map(pa.array, cols)], ["h", *COUNTS])
 
-        for b in batches:
-            _, row, v, w = hasher.batch(b.column(1))
-            y = b.column(2).to_numpy(zero_copy_only=False)[row].astype(np.int64)
-            one, none = np.ones(len(v), dtype=np.int64), np.zeros(len(v), dtype=np.int64)
-            h, inv = np.unique(np.concatenate([w, v]), return_inverse=True)
-            held.append((h, *(np.bincount(inv, x, len(h)).astype(np.int64) for x in (np.append(one, none), np.append(none, one), np.append(y, none), np.append(none, y)))))
-            size += len(h)
-            if size >= FLUSH:
-                yield out()
-                size = 0
-        if held:
-            yield out()
-
-    each = docs.transform(shipped).mapInArrow(run, "h long, n long, ctx long, tn long, tctx long")
-    return each.groupBy("h").agg(*[F.sum(c).alias(c) for c in COUNTS])
+@dataclass
+class Unit:
+    """The tokens of some documents. Words are places in `words` (in order, START first), pairs places in `pairs`."""
+
+    sizes: np.ndarray  # tokens of a document
+    good: np.ndarray  # of a document
+    words: np.ndarray  # hashes
+    w: np.ndarray  # the word of a token
+
+    def __post_init__(self):
+        sizes, w = self.sizes, self.w
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        self.v = np.roll(w, 1)
+        self.v[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+        both, first, self.pair = np.unique(_mixed(self.words[self.v], self.words[w]), return_index=True, return_inverse=True)
+        self.pairs, self.before, self.word = both, self.v[first], w[first]
+
+    def word_counts(self) -> np.ndarray:
+        """As a token and as a context, in all and in target documents."""
+        aimed = self.good[self.row].astype(np.float64)
+        return np.stack([np.bincount(x, y, len(self.words)) for y in (None, aimed) for x in (self.w, self.v)]).astype(np.int64)
+
+    def pair_counts(self) -> np.ndarray:
+        aimed = self.good[self.row].astype(np.float64)
+        return np.stack([np.bincount(self.pair, y, len(self.pairs)) for y in (None, aimed)]).astype(np.int64)
+
+    def losses(self, words: np.ndarray, pairs: np.ndarray, size: int, totals: tuple[int, int], contexts: int | None) -> list[np.ndarray]:
+        """Background and target loss of each document, from the counts of words and pairs in all units."""
+        if not len(self.w):
+            return [np.zeros(len(self.sizes))] * 2
+        key, times = np.unique(self.row * len(self.pairs) + self.pair, return_counts=True)
+        row, pair = np.divmod(key, len(self.pairs))
+        w, v, good = self.word[pair], self.before[pair], self.good[row]
+        own, mine = np.unique(row * len(self.words) + w, return_inverse=True)
+        own = np.bincount(mine, times, len(own))[mine]
+        often = np.ones(len(w), dtype=bool) if contexts is None else (v == 0) | (words[1][v] * contexts >= totals[0])
+        out = []
+        for k, out_of in ((0, np.ones(len(w), dtype=bool)), (1, good)):  # counted in this model, so taken out again
+            less, twice = own * out_of, times * out_of
+            low = (words[2 * k][w] - less + 1.0) / (totals[k] - less + size)
+            before = words[2 * k + 1][v] - twice
+            high = np.where(before > 0, (pairs[k][pair] - twice) / np.maximum(before, 1), low)
+            loss = -np.log(np.where(often, WEIGHT * high + (1 - WEIGHT) * low, low)) * times
+            out.append(np.bincount(row, loss, len(self.sizes)))
+        return out
 
 
-@dataclass
-class Model:
-    """Counts over the documents that are to be scored."""
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.types)], schema=schema)
 
-    docs: DataFrame  # doc_id, text, good
-    contexts: np.ndarray  # hashes in order
-    counts: np.ndarray  # of contexts, in all and in target documents
-    size: int  # of the vocabulary
-    totals: tuple[int, int]
 
+def _short(x: np.ndarray) -> bytes:
+    return _pack(x.astype(np.uint32) if x.max(initial=0) < 1 << 32 else x)
 
-def fit(docs: DataFrame, labels: DataFrame, contexts: int = CONTEXTS) -> Model:
-    """`docs`: doc_id, text. `labels`: doc_id, quality. A context is a word of one in `contexts` tokens."""
-    table = marked(docs, labels)
-    words = stored(word_counts(table))
-    sums = words.agg(F.count(F.when(F.col("n") > 0, 1)).alias("v"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "tn")]).first()
-    often = words.filter((F.col("ctx") > 0) & ((F.col("h") == START) | (F.col("ctx") * contexts >= sums["n"]))).select("h", "ctx", "tctx").toArrow()
-    h = often["h"].to_numpy()
-    order = np.argsort(h)
-    counts = np.stack([often["ctx"].to_numpy(), often["tctx"].to_numpy()])
-    return Model(table, h[order], counts[:, order], sums["v"], (sums["n"], sums["tn"]))
-
-
-def losses(pairs: np.ndarray, context: np.ndarray, single: np.ndarray, total: np.ndarray, size: int) -> np.ndarray:
-    """-log p(w | v) from counts; a context under zero is none."""
-    low = (single + 1.0) / (total + size)
-    high = np.where(context > 0, pairs / np.maximum(context, 1), low)
-    return -np.log(np.where(context >= 0, WEIGHT * high + (1 - WEIGHT) * low, low))
-
-
-def part_losses(w: np.ndarray, c: np.ndarray, doc: np.ndarray, good: np.ndarray, times: np.ndarray, model: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """(background, target) losses of entries (word, context or -1, document, in the target, how often), all of their words."""
-    counts, size, totals = model
-    words, word = np.unique(w, return_inverse=True)
-    pairs, pair = np.unique(word * np.int64(counts.shape[1] + 1) + c + 1, return_inverse=True)
-    own, mine = np.unique(word << 32 | doc, return_inverse=True)
-    own = np.bincount(mine, times, len(own))[mine]
-    out = []
-    for k, aimed in ((0, times), (1, times * good)):
-        out_of = good if k else np.ones(len(w), dtype=bool)  # counted in this model, so taken out again
-        less, twice = own * out_of, times * out_of
-        single = np.bincount(word, aimed, len(words))[word] - less
-        both = np.bincount(pair, aimed, len(pairs))[pair] - twice
-        before = np.where(c >= 0, np.maximum(counts[k][np.maximum(c, 0)] - twice, 0), -1) if counts.shape[1] else np.full(len(w), -1)
-        out.append(losses(both, before, single, totals[k] - less, size) * times)
-    return out[0], out[1]
 
+#: Rows of words and of pairs (a: hashes, b: counts), of a unit's tokens (ids; a: words, b: places, c: sizes, d: whether
+#: good; n and tn: tokens, in all and in target documents) and of a part's vocabulary (n: its size).
+WORDS, PAIRS, HEAD, SIZE = range(4)
+NAMES = ["bucket", "unit", "kind", "ids", "a", "b", "c", "d", "n", "tn"]
 
-def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.types)], schema=schema)
 
+@dataclass
+class Model:
+    """Counts over the documents that are to be scored."""
 
-WORDS, HEAD, SUMS = range(3)
-NAMES = ["bucket", "unit", "kind", "ids", "a", "b", "c", "d"]
+    met: DataFrame  # the units and the counts that they asked for
+    doc_id: str  # type of the ids
+    size: int  # of the vocabulary
+    totals: tuple[int, int]  # tokens, in all and in target documents
+    contexts: int | None
 
 
-def score(model: Model) -> DataFrame:
-    """(doc_id, n_tokens, background_loss, target_loss, score) for each document of the model."""
+def fit(docs: DataFrame, labels: DataFrame, contexts: int | None = None) -> Model:
+    """`docs`: doc_id, text. `labels`: doc_id, quality. With `contexts` only words of one in so many tokens are contexts."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    docs, (total, wanted_total) = model.docs, model.totals
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    arrow = pa.schema(list(zip(NAMES, [pa.int64(), pa.int64(), pa.int32(), pa.list_(id_type), *[pa.binary()] * 4], strict=True)))
-    packed = f"bucket long, unit long, kind int, ids array<{kind}>, a binary, b binary, c binary, d binary"
-    # At most CONTEXTS + 1 contexts of 24 bytes.
-    shared = docs.sparkSession.sparkContext.broadcast((model.contexts, model.counts, model.size, (total, wanted_total)))
-    parts = max(1, total // PART)
+    table = marked(docs, labels)
+    id_type = table.schema["doc_id"].dataType
+    kind = id_type.simpleString()
+    arrow = pa.schema(list(zip(NAMES, [pa.int64(), pa.int64(), pa.int32(), pa.list_(to_arrow_type(id_type)), *[pa.binary()] * 4, pa.int64(), pa.int64()], strict=True)))
+    packed = f"bucket long, unit long, kind int, ids array<{kind}>, a binary, b binary, c binary, d binary, n long, tn long"
+    # Only the number of parts hangs on it, no result.
+    parts = max(1, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // (CHARS * PART))
+
+    def asked(name: int, what: int, hashes: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+        # Parts are ranges of the hashes, so in this order each part's entries stand together.
+        edges = np.searchsorted(((hashes >> 31) * parts) >> 32, np.arange(parts + 1))
+        for p in np.flatnonzero(np.diff(edges)).tolist():
+            at = slice(edges[p], edges[p + 1])
+            yield (p, name, what, None, _pack(np.diff(hashes[at], prepend=0)), _short(counts[:, at].ravel()), None, None, None, None)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts = shared.value[0]
         hasher, task, unit = Hasher(), TaskContext.get().partitionId(), 0
-        ids, sizes, cols, tokens = [], [], [], 0
+        ids, sizes, good, flat, tokens = [], [], [], [], 0
 
         def out() -> pa.RecordBatch:
             name = task << 32 | unit
-            n = np.concatenate(sizes)
-            rows = [(unit % parts, name, HEAD, [x for i in ids for x in i], None, None, _pack(n), None)]
-            w, c, mark = (np.concatenate([x[k] for x in cols]) for k in range(3))
-            key = (c + 1) << 32 | mark
-            order = np.lexsort((key, w))
-            w, key = w[order], key[order]
-            new = np.flatnonzero((np.diff(w, prepend=-1) != 0) | (np.diff(key, prepend=-1) != 0))
-            times, w, key = np.diff(np.append(new, len(w))), w[new], key[new]
-            # Parts are ranges of the hashes, so in this order each part's entries stand together.
-            part = ((w >> 31) * parts) >> 32
-            edges = np.searchsorted(part, np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(edges)).tolist():
-                at = slice(edges[p], edges[p + 1])
-                words, counts = np.unique(w[at], return_counts=True)
-                each = [words, counts, key[at] >> 32, np.stack([key[at] & 0xFFFFFFFF, times[at]]).ravel()]
-                rows.append((p, name, WORDS, None, _pack(np.diff(words, prepend=0)), _pack(counts.astype(np.uint32)), _pack(each[2].astype(np.uint32)), _pack(each[3].astype(np.uint32))))
+            words, w = np.unique(np.concatenate([[START], *flat]).astype(np.int64), return_inverse=True)
+            u = Unit(np.array(sizes, dtype=np.int64), np.array(good, dtype=bool), words, w[1:])
+            rows = [(unit % parts, name, HEAD, list(ids), _pack(np.diff(words, prepend=0)), _pack(u.w.astype(np.uint32)), _short(u.sizes), _pack(u.good.astype(np.uint8)), len(u.w), int(u.sizes[u.good].sum()))]
+            if len(u.w):
+                rows += [*asked(name, WORDS, words, u.word_counts()), *asked(name, PAIRS, u.pairs, u.pair_counts())]
             return _rows(rows, arrow)
 
         for b in batches:
-            if not b.num_rows:
-                continue
-            n, row, v, w = hasher.batch(b.column(1))
-            at = np.minimum(np.searchsorted(contexts, v), max(len(contexts) - 1, 0))
-            c = np.where(contexts[at] == v, at, -1) if len(contexts) else np.full(len(v), -1)
-            good = b.column(2).to_numpy(zero_copy_only=False)
-            cols.append((w, c, (row + sum(map(len, sizes))) * 2 + good[row]))
-            ids.append(b.column(0).to_pylist())
-            sizes.append(n)
-            tokens += len(w)
-            if tokens >= UNIT:
-                yield out()
-                ids, sizes, cols, tokens, unit = [], [], [], 0, unit + 1
+            for doc_id, text, aimed in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                found = np.array(hasher.tokens(text), dtype=np.int64)
+                ids.append(doc_id)
+                sizes.append(len(found))
+                good.append(aimed)
+                flat.append(found)
+                tokens += len(found)
+                if tokens >= UNIT:
+                    yield out()
+                    for held in (ids, sizes, good, flat):
+                        held.clear()
+                    tokens, unit = 0, unit + 1
         if ids:
             yield out()
 
     def meet(t: pa.Table) -> pa.Table:
-        what = t["kind"].to_numpy()
-        out = [t.filter(pa.array(what != WORDS))]
-        t = t.filter(pa.array(what == WORDS))
-        if len(t):
-            w, c, mark, times, units, doc, docs_seen = [], [], [], [], [], [], 0
-            for a, b, x, d in zip(*(t[k].to_pylist() for k in "abcd"), strict=True):
-                w.append(np.repeat(np.cumsum(_unpack(a)), _unpack(b)))
-                c.append(_unpack(x).astype(np.int64) - 1)
-                both = _unpack(d).astype(np.int64).reshape(2, -1)
-                mark.append(both[0] & 1)
-                times.append(both[1])
-                rows, at = np.unique(both[0] >> 1, return_inverse=True)
-                units.append(rows)
-                doc.append(at + docs_seen)
-                docs_seen += len(rows)
-            doc = np.concatenate(doc)
-            found = part_losses(np.concatenate(w), np.concatenate(c), doc, np.concatenate(mark).astype(bool), np.concatenate(times), shared.value[1:])
-            sums, rows, at = [np.bincount(doc, x, docs_seen).astype(np.float32) for x in found], [], 0
-            for unit, some in zip(t["unit"].to_pylist(), units, strict=True):
-                here = slice(at, at + len(some))
-                rows.append((0, unit, SUMS, None, None, _pack(np.diff(some, prepend=0).astype(np.uint32)), *(_pack(x[here]) for x in sums)))
-                at += len(some)
-            out.append(pa.Table.from_batches([_rows(rows, arrow)]))
-        return pa.concat_tables([x.select(NAMES).cast(arrow) for x in out])
+        kinds = t["kind"].to_numpy()
+        out = [t.filter(pa.array(kinds == HEAD))]
+        for what, width in ((WORDS, 4), (PAIRS, 2)):
+            some = t.filter(pa.array(kinds == what))
+            if not len(some):
+                continue
+            hashes = [np.cumsum(_unpack(x.as_py())) for x in some["a"]]
+            edges = np.cumsum([0, *map(len, hashes)])
+            every, place = np.unique(np.concatenate(hashes), return_inverse=True)
+            del hashes
+            sums = np.zeros((width, len(every)), dtype=np.int64)
+            for x, lo, hi in zip(some["b"], edges, edges[1:], strict=False):
+                sums[:, place[lo:hi]] += _unpack(x.as_py()).reshape(width, -1).astype(np.int64)  # once each in a unit
+            bucket = some["bucket"][0].as_py()
+            for unit, lo, hi in zip(some["unit"].to_pylist(), edges, edges[1:], strict=False):
+                out.append(pa.Table.from_batches([_rows([(bucket, unit, what, None, None, _short(sums[:, place[lo:hi]].ravel()), None, None, None, None)], arrow)]))
+            if what == WORDS:
+                out.append(pa.Table.from_batches([_rows([(bucket, None, SIZE, None, None, None, None, None, int((sums[0] > 0).sum()), None)], arrow)]))
+        return pa.concat_tables([x.select(NAMES).cast(arrow) for x in out]).combine_chunks()
+
+    met = stored(table.transform(shipped).mapInArrow(deal, packed).groupBy("bucket").applyInArrow(meet, packed))
+    n, tn, size = met.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col(c))), F.lit(0)) for k, c in ((HEAD, "n"), (HEAD, "tn"), (SIZE, "n"))]).first()
+    return Model(met, kind, size, (n, tn), contexts)
+
+
+def score(model: Model) -> DataFrame:
+    """(doc_id, n_tokens, background_loss, target_loss, score) for each document of the model."""
+    size, totals, contexts = model.size, model.totals, model.contexts
 
     def finish(t: pa.Table) -> pa.Table:
-        what = t["kind"].to_numpy()
-        head = t.filter(pa.array(what == HEAD))
-        ids = head["ids"].combine_chunks().flatten()
-        n = _unpack(head["c"][0].as_py())
-        low, high = np.zeros(len(n)), np.zeros(len(n))
-        # In the order of the values, so that sums don't depend on how rows arrive.
-        sums = sorted(zip(*(t.filter(pa.array(what == SUMS))[k].to_pylist() for k in "bcd"), strict=True))
-        for at, x, y in sums:
-            rows = np.cumsum(_unpack(at).astype(np.int64))
-            low[rows] += _unpack(x)
-            high[rows] += _unpack(y)
-        low, high = (x / np.maximum(n, 1) for x in (low, high))
-        return pa.table({"doc_id": ids, "n_tokens": n, "background_loss": low, "target_loss": high, "score": high - low})
-
-    dealt = docs.transform(shipped).mapInArrow(deal, packed)
-    met = dealt.groupBy("bucket").applyInArrow(meet, packed)
-    return met.groupBy("unit").applyInArrow(finish, f"doc_id {kind}, n_tokens long, background_loss double, target_loss double, score double")
+        kinds = t["kind"].to_numpy()
+        head = t.filter(pa.array(kinds == HEAD))
+        words, w, sizes, good = (_unpack(head[k][0].as_py()) for k in "abcd")
+        u = Unit(sizes.astype(np.int64), good.astype(bool), np.cumsum(words), w.astype(np.int64))
+
+        def answer(what: int, width: int) -> np.ndarray:
+            some = t.filter(pa.array(kinds == what)).sort_by("bucket")
+            return np.concatenate([np.zeros((width, 0), dtype=np.int64), *(_unpack(x.as_py()).reshape(width, -1).astype(np.int64) for x in some["b"])], axis=1)
+
+        low, high = (x / np.maximum(u.sizes, 1) for x in u.losses(answer(WORDS, 4), answer(PAIRS, 2), size, totals, contexts))
+        return pa.table({"doc_id": head["ids"].combine_chunks().flatten(), "n_tokens": u.sizes, "background_loss": low, "target_loss": high, "score": high - low})
+
+    asked = model.met.filter(F.col("kind") != SIZE)
+    return asked.groupBy("unit").applyInArrow(finish, f"doc_id {model.doc_id}, n_tokens long, background_loss double, target_loss double, score double")
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -663,6 +663,27 @@ def test_lm_score_matches_plain(spark, monkeypatch, contexts, part, unit):
     assert by[64][2] < min(by[k][2] for k in (10, 11, 13)) - 0.2  # a text that stands twice
 
 
+def test_lm_score_rare_words_are_contexts(spark):
+    """One word of 200,000 tokens stands before another in three documents; the pair counts, however rare the word is."""
+    rows = [(1, "rare next"), (2, "rare next"), (3, "rare next"), (4, "filler " * 200_000 + "next alone")]
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in lm_score.query(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    every = {"rare": 3, "next": 4, "filler": 200_000, "alone": 1}
+    n = sum(every.values())
+    low = {w: every[w] / (n - 1 + 4) for w in ("rare", "next")}  # without its own one, and one more
+    want = -sum(np.log(0.7 * x + 0.3 * low[w]) for w, x in (("rare", 2 / 3), ("next", 2 / 2))) / 2
+    assert got[3]["background_loss"] == pytest.approx(want, abs=1e-6)
+
+
+def test_lm_score_parts_see_a_frequent_pair_once_for_each_unit(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "UNIT", 1000)
+    docs = spark.createDataFrame([(k, "same pair " * 10 + f"w{k}") for k in range(400)], "doc_id long, text string").coalesce(1)
+    model = lm_score.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    asked = model.met.filter(f"kind = {lm_score.PAIRS}").select("b").collect()
+    assert model.totals == (8400, 21) and model.size == 402 and lm_score.score(model).count() == 400
+    assert sum(len(lm_score._unpack(r["b"])) // 2 for r in asked) == 2 * len(asked) + 400 + len(asked) < 600
+
+
 def test_lm_score_long_text_and_many_labels(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "BROADCAST", 0)
     rows = [(1, "long " * 200_000 + "x" * 1_000_000), (2, "short text"), (3, "short word")]
