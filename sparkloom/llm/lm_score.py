@@ -26,6 +26,7 @@ score one by one; an empty table gives an empty one; extra columns are not looke
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +43,7 @@ START = 1
 #: Weight of the pairs.
 WEIGHT = 0.7
 #: Tokens of a part (at `CHARS` characters), tokens of a unit (documents that are dealt together).
-PART, UNIT, CHARS = 2_000_000, 1_000_000, 6
+PART, UNIT, CHARS = 2_000_000, 400_000, 6
 #: Labelled ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST = 1 << 21
 
@@ -55,7 +56,7 @@ class Hasher:
 
     def tokens(self, text: str | None) -> list[int]:
         known, out = self.known, []
-        if len(known) > 300_000:
+        if len(known) > 200_000:
             known.clear()
         for w in (text or "").lower().split():
             h = known.get(w)
@@ -105,10 +106,11 @@ class Unit:
 
     def __post_init__(self):
         sizes, w = self.sizes, self.w
-        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.v = np.roll(w, 1)
         self.v[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
-        both, first, self.pair = np.unique(_mixed(self.words[self.v], self.words[w]), return_index=True, return_inverse=True)
+        both, first, pair = np.unique(_mixed(self.words[self.v], self.words[w]), return_index=True, return_inverse=True)
+        self.pair = pair.astype(np.int32)
         self.pairs, self.before, self.word = both, self.v[first], w[first]
 
     def word_counts(self) -> np.ndarray:
@@ -124,7 +126,7 @@ class Unit:
         """Background and target loss of each document, from the counts of words and pairs in all units."""
         if not len(self.w):
             return [np.zeros(len(self.sizes))] * 2
-        key, times = np.unique(self.row * len(self.pairs) + self.pair, return_counts=True)
+        key, times = np.unique(self.row.astype(np.int64) * len(self.pairs) + self.pair, return_counts=True)
         row, pair = np.divmod(key, len(self.pairs))
         w, v, good = self.word[pair], self.before[pair], self.good[row]
         own, mine = np.unique(row * len(self.words) + w, return_inverse=True)
@@ -141,6 +143,14 @@ class Unit:
         return out
 
 
+def _release() -> None:
+    """Gives freed memory back to the system: idle Python workers would keep it beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.types)], schema=schema)
 
@@ -149,7 +159,7 @@ def _short(x: np.ndarray) -> bytes:
     return _pack(x.astype(np.uint32) if x.max(initial=0) < 1 << 32 else x)
 
 
-#: Rows of words and of pairs (a: hashes, b: counts), of a unit's tokens (ids; a: words, b: places, c: sizes, d: whether
+#: Rows of words and of pairs (a: hashes, b: counts), of a unit's tokens (ids; b: places, c: sizes, d: whether
 #: good; n and tn: tokens, in all and in target documents) and of a part's vocabulary (n: its size).
 WORDS, PAIRS, HEAD, SIZE = range(4)
 NAMES = ["bucket", "unit", "kind", "ids", "a", "b", "c", "d", "n", "tn"]
@@ -192,8 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, contexts: int | None = None) -> Mode
         def out() -> pa.RecordBatch:
             name = task << 32 | unit
             words, w = np.unique(np.concatenate([[START], *flat]).astype(np.int64), return_inverse=True)
-            u = Unit(np.array(sizes, dtype=np.int64), np.array(good, dtype=bool), words, w[1:])
-            rows = [(unit % parts, name, HEAD, list(ids), _pack(np.diff(words, prepend=0)), _pack(u.w.astype(np.uint32)), _short(u.sizes), _pack(u.good.astype(np.uint8)), len(u.w), int(u.sizes[u.good].sum()))]
+            u = Unit(np.array(sizes, dtype=np.int64), np.array(good, dtype=bool), words, w[1:].astype(np.int32))
+            rows = [(unit % parts, name, HEAD, list(ids), None, _pack(u.w.astype(np.uint32)), _short(u.sizes), _pack(u.good.astype(np.uint8)), len(u.w), int(u.sizes[u.good].sum()))]
             if len(u.w):
                 rows += [*asked(name, WORDS, words, u.word_counts()), *asked(name, PAIRS, u.pairs, u.pair_counts())]
             return _rows(rows, arrow)
@@ -213,6 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, contexts: int | None = None) -> Mode
                     tokens, unit = 0, unit + 1
         if ids:
             yield out()
+        del hasher
+        _release()
 
     def meet(t: pa.Table) -> pa.Table:
         kinds = t["kind"].to_numpy()
@@ -229,10 +241,12 @@ def fit(docs: DataFrame, labels: DataFrame, contexts: int | None = None) -> Mode
             for x, lo, hi in zip(some["b"], edges, edges[1:], strict=False):
                 sums[:, place[lo:hi]] += _unpack(x.as_py()).reshape(width, -1).astype(np.int64)  # once each in a unit
             bucket = some["bucket"][0].as_py()
-            for unit, lo, hi in zip(some["unit"].to_pylist(), edges, edges[1:], strict=False):
-                out.append(pa.Table.from_batches([_rows([(bucket, unit, what, None, None, _short(sums[:, place[lo:hi]].ravel()), None, None, None, None)], arrow)]))
+            for unit, asked_for, lo, hi in zip(some["unit"].to_pylist(), some["a"], edges, edges[1:], strict=False):
+                out.append(pa.Table.from_batches([_rows([(bucket, unit, what, None, asked_for.as_py() if what == WORDS else None, _short(sums[:, place[lo:hi]].ravel()), None, None, None, None)], arrow)]))
             if what == WORDS:
                 out.append(pa.Table.from_batches([_rows([(bucket, None, SIZE, None, None, None, None, None, int((sums[0] > 0).sum()), None)], arrow)]))
+            del sums, every, place
+        _release()
         return pa.concat_tables([x.select(NAMES).cast(arrow) for x in out]).combine_chunks()
 
     met = stored(table.transform(shipped).mapInArrow(deal, packed).groupBy("bucket").applyInArrow(meet, packed))
@@ -247,14 +261,17 @@ def score(model: Model) -> DataFrame:
     def finish(t: pa.Table) -> pa.Table:
         kinds = t["kind"].to_numpy()
         head = t.filter(pa.array(kinds == HEAD))
-        words, w, sizes, good = (_unpack(head[k][0].as_py()) for k in "abcd")
-        u = Unit(sizes.astype(np.int64), good.astype(bool), np.cumsum(words), w.astype(np.int64))
+        w, sizes, good = (_unpack(head[k][0].as_py()) for k in "bcd")
+        some = t.filter(pa.array(kinds == WORDS)).sort_by("bucket")
+        words = np.concatenate([np.empty(0, dtype=np.int64), *(np.cumsum(_unpack(x.as_py())) for x in some["a"])])
+        u = Unit(sizes.astype(np.int64), good.astype(bool), words, w.astype(np.int32))
 
         def answer(what: int, width: int) -> np.ndarray:
             some = t.filter(pa.array(kinds == what)).sort_by("bucket")
             return np.concatenate([np.zeros((width, 0), dtype=np.int64), *(_unpack(x.as_py()).reshape(width, -1).astype(np.int64) for x in some["b"])], axis=1)
 
         low, high = (x / np.maximum(u.sizes, 1) for x in u.losses(answer(WORDS, 4), answer(PAIRS, 2), size, totals, contexts))
+        _release()
         return pa.table({"doc_id": head["ids"].combine_chunks().flatten(), "n_tokens": u.sizes, "background_loss": low, "target_loss": high, "score": high - low})
 
     asked = model.met.filter(F.col("kind") != SIZE)
