@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.session import shipped, stored
+from sparkloom.session import shipped, stored_alone
 
 START = 1
 #: Weight of the pairs.
@@ -249,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, contexts: int | None = None) -> Mode
         _release()
         return pa.concat_tables([x.select(NAMES).cast(arrow) for x in out]).combine_chunks()
 
-    met = stored(table.transform(shipped).mapInArrow(deal, packed).groupBy("bucket").applyInArrow(meet, packed))
+    met = stored_alone(table.transform(shipped).mapInArrow(deal, packed).groupBy("bucket").applyInArrow(meet, packed))
     n, tn, size = met.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col(c))), F.lit(0)) for k, c in ((HEAD, "n"), (HEAD, "tn"), (SIZE, "n"))]).first()
     return Model(met, kind, size, (n, tn), contexts)
 

@@ -2,8 +2,11 @@
 
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -692,6 +695,28 @@ def test_lm_score_long_text_and_many_labels(spark, monkeypatch):
     assert got[1]["n_tokens"] == 200_001 and got[3]["score"] < 0 < got[1]["background_loss"]
 
 
+FREED = """
+from pathlib import Path
+from pyspark.sql import SparkSession
+from sparkloom.llm import lm_score
+
+conf = {"spark.local.dir": FOLDER, "spark.cleaner.referenceTracking": "false", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "3"}
+spark = SparkSession.builder.master("local[2]").config(map=conf).getOrCreate()
+docs = spark.range(3000).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 30), x -> hash(id, x))) as text")
+model = lm_score.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+left = sum(f.stat().st_size for f in Path(FOLDER).rglob("shuffle_*.data"))
+print("left", left, model.totals[0], lm_score.score(model).count(), sum(f.stat().st_size for f in Path(FOLDER).rglob("shuffle_*.data")), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None))
+"""
+
+
+def test_lm_score_frees_what_the_units_asked(tmp_path):
+    """The files of the first shuffle go before those of the second one come, even if no garbage is collected."""
+    run = subprocess.run([sys.executable, "-c", f"FOLDER = {str(tmp_path)!r}{FREED}"], capture_output=True, text=True, timeout=300, check=True, cwd=Path(__file__).parents[2])
+    left, tokens, rows, then, setting = run.stdout.split("left", 1)[1].split()
+    assert (int(tokens), int(rows), setting) == (90_000, 3000, "None")
+    assert int(left) < 10_000 < 500_000 < int(then)
+
+
 # --- the same hard cases for all -------------------------------------------------------------------------
 
 
