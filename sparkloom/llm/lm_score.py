@@ -44,6 +44,8 @@ START = 1
 WEIGHT = 0.7
 #: Tokens of a part (at `CHARS` characters), tokens of a unit (documents that are dealt together).
 PART, UNIT, CHARS = 2_000_000, 400_000, 6
+#: Hashes of a part that are added up at once.
+RANGE = 100_000
 #: Labelled ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST = 1 << 21
 
@@ -159,6 +161,30 @@ def _short(x: np.ndarray) -> bytes:
     return _pack(x.astype(np.uint32) if x.max(initial=0) < 1 << 32 else x)
 
 
+def _add_up(hashes: list[np.ndarray], counts: list[np.ndarray]) -> int:
+    """Puts the sums over all units in place of each unit's own counts (rows of `counts`); the number of hashes with a token.
+
+    `hashes` are ascending and stand once in a unit. Range after range of them is added up, so that little is held beside them."""
+    kind = np.uint32 if sum(int(x.sum(dtype=np.int64)) for x in counts) < 1 << 32 else np.int64
+    counts[:] = [x.astype(kind) for x in counts]
+    low, high = min(int(x[0]) for x in hashes), max(int(x[-1]) for x in hashes)
+    ranges = max(1, sum(map(len, hashes)) // RANGE)
+    cuts = low + (high - low) // ranges * np.arange(1, ranges)
+    spans = [[0, *np.searchsorted(x, cuts).tolist(), len(x)] for x in hashes]
+    size = 0
+    for k in range(ranges):
+        some = [slice(x[k], x[k + 1]) for x in spans]
+        edges = np.cumsum([0, *(x.stop - x.start for x in some)])
+        every, place = np.unique(np.concatenate([x[at] for x, at in zip(hashes, some, strict=True)]), return_inverse=True)
+        sums = np.zeros((len(counts[0]), len(every)), dtype=kind)
+        for x, at, lo, hi in zip(counts, some, edges, edges[1:], strict=False):
+            sums[:, place[lo:hi]] += x[:, at]
+        for x, at, lo, hi in zip(counts, some, edges, edges[1:], strict=False):
+            x[:, at] = sums[:, place[lo:hi]]
+        size += int((sums[0] > 0).sum())
+    return size
+
+
 #: Rows of words and of pairs (a: hashes, b: counts), of a unit's tokens (ids; b: places, c: sizes, d: whether
 #: good; n and tn: tokens, in all and in target documents) and of a part's vocabulary (n: its size).
 WORDS, PAIRS, HEAD, SIZE = range(4)
@@ -227,27 +253,22 @@ def fit(docs: DataFrame, labels: DataFrame, contexts: int | None = None) -> Mode
         _release()
 
     def meet(t: pa.Table) -> pa.Table:
-        kinds = t["kind"].to_numpy()
-        out = [t.filter(pa.array(kinds == HEAD))]
+        kinds, bucket, rows = t["kind"].to_numpy(), t["bucket"][0].as_py(), []
+        heads = t.filter(pa.array(kinds == HEAD)).select(NAMES).cast(arrow)
         for what, width in ((WORDS, 4), (PAIRS, 2)):
-            some = t.filter(pa.array(kinds == what))
-            if not len(some):
+            at = np.flatnonzero(kinds == what).tolist()
+            if not at:
                 continue
-            hashes = [np.cumsum(_unpack(x.as_py())) for x in some["a"]]
-            edges = np.cumsum([0, *map(len, hashes)])
-            every, place = np.unique(np.concatenate(hashes), return_inverse=True)
-            del hashes
-            sums = np.zeros((width, len(every)), dtype=np.int64)
-            for x, lo, hi in zip(some["b"], edges, edges[1:], strict=False):
-                sums[:, place[lo:hi]] += _unpack(x.as_py()).reshape(width, -1).astype(np.int64)  # once each in a unit
-            bucket = some["bucket"][0].as_py()
-            for unit, asked_for, lo, hi in zip(some["unit"].to_pylist(), some["a"], edges, edges[1:], strict=False):
-                out.append(pa.Table.from_batches([_rows([(bucket, unit, what, None, asked_for.as_py() if what == WORDS else None, _short(sums[:, place[lo:hi]].ravel()), None, None, None, None)], arrow)]))
+            counts = [_unpack(t["b"][k].as_py()).reshape(width, -1) for k in at]
+            size = _add_up([np.cumsum(_unpack(t["a"][k].as_py())) for k in at], counts)
+            for k, x in zip(at, counts, strict=True):
+                rows.append((bucket, t["unit"][k].as_py(), what, None, t["a"][k].as_py() if what == WORDS else None, _short(x.ravel()), None, None, None, None))
             if what == WORDS:
-                out.append(pa.Table.from_batches([_rows([(bucket, None, SIZE, None, None, None, None, None, int((sums[0] > 0).sum()), None)], arrow)]))
-            del sums, every, place
+                rows.append((bucket, None, SIZE, None, None, None, None, None, size, None))
+            del counts
+        out = pa.Table.from_batches([*heads.to_batches(), _rows(rows, arrow)], arrow)
         _release()
-        return pa.concat_tables([x.select(NAMES).cast(arrow) for x in out]).combine_chunks()
+        return out
 
     met = stored_alone(table.transform(shipped).mapInArrow(deal, packed).groupBy("bucket").applyInArrow(meet, packed))
     n, tn, size = met.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col(c))), F.lit(0)) for k, c in ((HEAD, "n"), (HEAD, "tn"), (SIZE, "n"))]).first()

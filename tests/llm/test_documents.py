@@ -695,6 +695,20 @@ def test_lm_score_long_text_and_many_labels(spark, monkeypatch):
     assert got[1]["n_tokens"] == 200_001 and got[3]["score"] < 0 < got[1]["background_loss"]
 
 
+@pytest.mark.parametrize(("scale", "at_once"), [(1, 7), (1, 1 << 20), (1 << 33, 7)])
+def test_lm_score_sums_of_units_match_plain(monkeypatch, scale, at_once):
+    monkeypatch.setattr(lm_score, "RANGE", at_once)
+    r = np.random.default_rng(4)
+    hashes = [np.unique(r.integers(0, high, 60)) for high in (50, 1 << 62, 80, 1)]
+    counts = [r.integers(0, 3, (2, len(x))) * scale for x in hashes]
+    plain = [Counter(), Counter()]
+    for x, y in zip(hashes, counts, strict=True):
+        for k in (0, 1):
+            plain[k].update(dict(zip(x.tolist(), y[k].tolist(), strict=True)))
+    assert lm_score._add_up(hashes, counts) == sum(n > 0 for n in plain[0].values())
+    assert [y.tolist() for y in counts] == [[[plain[k][h] for h in x.tolist()] for k in (0, 1)] for x in hashes]
+
+
 FREED = """
 from pathlib import Path
 from pyspark.sql import SparkSession
