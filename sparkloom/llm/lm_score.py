@@ -43,9 +43,9 @@ START = 1
 #: Weight of the pairs.
 WEIGHT = 0.7
 #: Tokens of a part (at `CHARS` characters), tokens of a unit (documents that are dealt together).
-PART, UNIT, CHARS = 2_000_000, 400_000, 6
-#: Hashes of a part that are added up at once.
-RANGE = 100_000
+PART, UNIT, CHARS = 2_000_000, 1_000_000, 6
+#: Hashes of a part that are added up at once, tokens of a unit whose losses are taken at once.
+RANGE, SLICE = 100_000, 100_000
 #: Labelled ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST = 1 << 21
 
@@ -91,10 +91,22 @@ def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _mixed(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     """63-bit hashes of pairs of hashes (steps of splitmix64)."""
-    z = v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ w.astype(np.uint64)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((z ^ (z >> np.uint64(31))) >> np.uint64(1)).astype(np.int64)
+    z = v.astype(np.uint64)
+    z *= np.uint64(0x9E3779B97F4A7C15)
+    z ^= w.view(np.uint64)
+    z ^= z >> np.uint64(30)
+    z *= np.uint64(0xBF58476D1CE4E5B9)
+    z ^= z >> np.uint64(27)
+    z *= np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    z >>= np.uint64(1)
+    return z.view(np.int64)
+
+
+def _places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each among them (in less memory than `np.unique` takes for both)."""
+    every = np.unique(x)
+    return every, np.searchsorted(every, x).astype(np.int32)
 
 
 @dataclass
@@ -111,9 +123,9 @@ class Unit:
         self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.v = np.roll(w, 1)
         self.v[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
-        both, first, pair = np.unique(_mixed(self.words[self.v], self.words[w]), return_index=True, return_inverse=True)
-        self.pair = pair.astype(np.int32)
-        self.pairs, self.before, self.word = both, self.v[first], w[first]
+        self.pairs, self.pair = _places(_mixed(self.words[self.v], self.words[w]))
+        self.before, self.word = np.empty((2, len(self.pairs)), dtype=np.int32)
+        self.before[self.pair], self.word[self.pair] = self.v, w
 
     def word_counts(self) -> np.ndarray:
         """As a token and as a context, in all and in target documents."""
@@ -124,13 +136,23 @@ class Unit:
         aimed = self.good[self.row].astype(np.float64)
         return np.stack([np.bincount(self.pair, y, len(self.pairs)) for y in (None, aimed)]).astype(np.int64)
 
-    def losses(self, words: np.ndarray, pairs: np.ndarray, size: int, totals: tuple[int, int], contexts: int | None) -> list[np.ndarray]:
+    def losses(self, words: np.ndarray, pairs: np.ndarray, size: int, totals: tuple[int, int], contexts: int | None) -> np.ndarray:
         """Background and target loss of each document, from the counts of words and pairs in all units."""
-        if not len(self.w):
-            return [np.zeros(len(self.sizes))] * 2
-        key, times = np.unique(self.row.astype(np.int64) * len(self.pairs) + self.pair, return_counts=True)
+        out, ends, lo = np.zeros((2, len(self.sizes))), np.cumsum(self.sizes), 0
+        while lo < len(ends):
+            begin = int(ends[lo] - self.sizes[lo])
+            hi = max(lo + 1, int(np.searchsorted(ends, begin + SLICE, "right")))
+            at = slice(begin, int(ends[hi - 1]))
+            if at.stop > begin:
+                out[:, lo:hi] = self._losses(lo, hi, at, words, pairs, size, totals, contexts)
+            lo = hi
+        return out
+
+    def _losses(self, lo: int, hi: int, at: slice, words: np.ndarray, pairs: np.ndarray, size: int, totals: tuple[int, int], contexts: int | None) -> list[np.ndarray]:
+        """Those of the documents from `lo` to `hi`, whose tokens are `at`."""
+        key, times = np.unique((self.row[at].astype(np.int64) - lo) * len(self.pairs) + self.pair[at], return_counts=True)
         row, pair = np.divmod(key, len(self.pairs))
-        w, v, good = self.word[pair], self.before[pair], self.good[row]
+        w, v, good = self.word[pair], self.before[pair], self.good[row + lo]
         own, mine = np.unique(row * len(self.words) + w, return_inverse=True)
         own = np.bincount(mine, times, len(own))[mine]
         often = np.ones(len(w), dtype=bool) if contexts is None else (v == 0) | (words[1][v] * contexts >= totals[0])
@@ -141,7 +163,7 @@ class Unit:
             before = words[2 * k + 1][v] - twice
             high = np.where(before > 0, (pairs[k][pair] - twice) / np.maximum(before, 1), low)
             loss = -np.log(np.where(often, WEIGHT * high + (1 - WEIGHT) * low, low)) * times
-            out.append(np.bincount(row, loss, len(self.sizes)))
+            out.append(np.bincount(row, loss, hi - lo))
         return out
 
 
@@ -227,8 +249,8 @@ def fit(docs: DataFrame, labels: DataFrame, contexts: int | None = None) -> Mode
 
         def out() -> pa.RecordBatch:
             name = task << 32 | unit
-            words, w = np.unique(np.concatenate([[START], *flat]).astype(np.int64), return_inverse=True)
-            u = Unit(np.array(sizes, dtype=np.int64), np.array(good, dtype=bool), words, w[1:].astype(np.int32))
+            words, w = _places(np.concatenate([np.array([START]), *flat]))
+            u = Unit(np.array(sizes, dtype=np.int64), np.array(good, dtype=bool), words, w[1:])
             rows = [(unit % parts, name, HEAD, list(ids), None, _pack(u.w.astype(np.uint32)), _short(u.sizes), _pack(u.good.astype(np.uint8)), len(u.w), int(u.sizes[u.good].sum()))]
             if len(u.w):
                 rows += [*asked(name, WORDS, words, u.word_counts()), *asked(name, PAIRS, u.pairs, u.pair_counts())]

@@ -709,6 +709,18 @@ def test_lm_score_sums_of_units_match_plain(monkeypatch, scale, at_once):
     assert [y.tolist() for y in counts] == [[[plain[k][h] for h in x.tolist()] for k in (0, 1)] for x in hashes]
 
 
+def test_lm_score_losses_are_the_same_in_slices(monkeypatch):
+    r = np.random.default_rng(6)
+    sizes = np.array([0, 0, 5, 40, 0, 300, 1, 7, 90, 0])
+    words = np.array([1, *np.sort(r.choice(1 << 40, 30, replace=False) + 2)])
+    unit = lm_score.Unit(sizes, r.random(10) < 0.5, words, r.integers(1, 31, sizes.sum()).astype(np.int32))
+    got = []
+    for size in (1, 50, 1 << 20):
+        monkeypatch.setattr(lm_score, "SLICE", size)
+        got.append(np.array(unit.losses(unit.word_counts() + 3, unit.pair_counts() + 1, 40, (600, 300), None)).tolist())
+    assert got[0] == got[1] == got[2] and [x > 0 for x in got[0][0]] == [n > 0 for n in sizes.tolist()]
+
+
 FREED = """
 from pathlib import Path
 from pyspark.sql import SparkSession
